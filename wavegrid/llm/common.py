@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,3 +137,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
+
+
+def portions(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges (begin, end) of about ``size`` bytes each, one row at least."""
+    at, rows = 0, len(offsets) - 1
+    while at < rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, end
+        at = end

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import quality, token_counts, vector_search
+from wavegrid.llm import language_id, near_dedup, quality, sentencepieces, token_counts, vector_search
 from wavegrid.llm.common import bucket_of
 from wavegrid.runtime import ship
 
@@ -40,6 +40,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, vocabulary("piece_bpe_32k.model"), eligible=bucket_of(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 3) == 1, F.lit(False))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -68,3 +76,38 @@ with v as (
 )
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5
 """
+
+
+@query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).drop("text_key")
+
+
+#: Exact components from all pairs that share a shingle.
+ORACLES["op7_near_dedup"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+    else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a.doc_id as x, b.doc_id as y
+  from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+  join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  where 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n)
+  group by a.doc_id, b.doc_id, na.n, nb.n
+  having 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), e as (select x, y from links union all select y, x from links),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from reach r join e on e.x = r.y)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, m.c = d.doc_id as kept
+from documents d left join n using (doc_id) join (select x, min(y) as c from reach group by x) m on m.x = d.doc_id
+"""
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    both = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
