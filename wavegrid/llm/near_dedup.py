@@ -118,8 +118,8 @@ def super_minhash(docs: np.ndarray, elements: np.ndarray, rows: int, size: int)
             slots = None if slots is None else slots[keep]
         if not len(docs):
             break
-        value = (mix(elements + np.uint64(j + 1) * _G1) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        pick = (mix(elements ^ (np.uint64(j + 1) * _G2)) % np.uint64(size - j)).astype(np.int64) + j
+        value = (mix(elements + np.uint64((j + 1) * int(_G1) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        pick = (mix(elements ^ np.uint64((j + 1) * int(_G2) % 2**64)) % np.uint64(size - j)).astype(np.int64) + j
         if slots is None and j >= 4 and len(docs) * size <= 1 << 24:
             slots = np.tile(np.arange(size, dtype=np.int16), (len(docs), 1))
             every = np.arange(len(docs))
