@@ -34,10 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import SPACE, id_and_text, utf8
+from wavegrid.llm.common import SPACE, id_and_text, portions, utf8
 
 STATISTICS = ("log_bytes", "upper", "digit", "stop_mark", "other_mark", "bar", "shout", "non_ascii", "line_rate", "word_bytes", "word_variety", "line_variety", "top_word", "marked_words")
 
+#: Bytes of text described at once.
+PORTION = 1 << 20
+
 #: Fixed-point scales of the statistics and of the Fourier features.
 UNIT, FEATURE_UNIT = 1 << 14, 1 << 12
 
@@ -58,6 +61,11 @@ _MASK = _MASK.astype(np.uint16)
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of ``STATISTICS`` for each text ``data[offsets[i]:offsets[i + 1]]``,
     as whole multiples of 1 / ``UNIT``."""
+    parts = [_statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in portions(offsets, PORTION)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
+
+
+def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
     out = np.zeros((rows, len(STATISTICS)))
     if not len(data):
