@@ -21,6 +21,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
+#: Bytes, or words, of which prefix sums are held at once.
+SEGMENT = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -122,7 +125,20 @@ def _power(base: int, n: int, name: str) -> np.ndarray:
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each slice ``data[start:end]``; equal bytes give equal
     hashes wherever they stand.  A prefix sum of ``byte * BASE**i`` makes each
-    slice two look-ups."""
+    slice two look-ups.  Slices are sorted; they are hashed some ``SEGMENT``
+    bytes at a time."""
+    if len(data) > SEGMENT and len(starts) > 1:
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            low = int(starts[at])
+            end = max(at + 1, int(np.searchsorted(ends, low + SEGMENT, side="right")))
+            out[at:end] = _slice_hashes(data[low : int(ends[end - 1])], starts[at:end] - low, ends[at:end] - low)
+            at = end
+        return out
+    return _slice_hashes(data, starts, ends)
+
+
+def _slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data) + 1
     up, down = _power(BASE, n, "up"), _power(BASE_INV, n, "down")
     with np.errstate(over="ignore"):
@@ -130,6 +146,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive values of ``h``."""
+    out = np.empty(max(0, len(h) - size + 1), np.uint64)
+    for at in range(0, len(out), SEGMENT):
+        part = h[at : at + SEGMENT + size - 1]
+        n = len(part)
+        up, down = _power(BASE, n, "up"), _power(BASE_INV, n, "down")
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up, dtype=np.uint64)])
+        out[at : at + n - size + 1] = mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+    return out
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges ``start .. start + length``."""
     total = int(lengths.sum())
