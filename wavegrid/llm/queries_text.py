@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import substring_dedup
+from wavegrid.llm import secret_scan, substring_dedup
 from wavegrid.llm.queries import ORACLES, query, table
 
 
@@ -33,3 +33,100 @@ select doc_id, len(w)::bigint as n_words, coalesce(len(ks), 0)::bigint as n_remo
        sha256(array_to_string(case when ks is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda k: not list_contains(ks, k)), lambda k: w[k]) end, ' ')) as kept_sha256
 from w left join r using (doc_id)
 """
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def of(rank: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    digest = F.sha2(secret_scan.listed(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), digest.alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+ORACLES["op6_secret_scan"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t from documents
+), rule(kind, rank, pattern, part) as (values
+  ('assign', 0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0), ('hex', 2, '[0-9a-f]+', 0), ('random', 3, '[A-Za-z0-9+/_-]{24,}', 0)
+), x as (
+  select doc_id, kind, rank, regexp_extract_all(t, pattern, 0) as w, regexp_split_to_array(t, pattern) as g,
+         case when part = 2 then regexp_extract_all(t, pattern, 2) else regexp_extract_all(t, pattern, 0) end as s
+  from d, rule where regexp_matches(t, pattern)
+), y as (
+  select *, list_transform(g, lambda a: length(a)) as gl, list_transform(w, lambda a: length(a)) as wl from x
+), m as (
+  select doc_id, kind, rank, unnest(s) as word, unnest(wl) as n, unnest(gl[1 : len(wl)]) as gap, unnest(range(len(wl))) as i from y
+), z as (
+  select doc_id, kind, rank, word, n,
+         (sum(gap + n) over (partition by doc_id, kind order by i) - n)::bigint as b from m
+), base as (
+  select doc_id, kind, rank, b, b + n as e from z
+  where kind = 'assign' and length(word) >= 6 or kind = 'access' and n >= 20 or kind = 'hex' and n >= 24
+), coded as (
+  select doc_id, b, b + n as e, word,
+    case when not regexp_matches(word, '[0-9]') or not regexp_matches(word, '[A-Za-z]') then null
+         when regexp_full_match(word, '[0-9a-f]+|[0-9A-F]+') then 'hex'
+         when regexp_full_match(word, '[A-Z2-7]+') then 'base32'
+         when regexp_full_match(word, '[0-9a-z]+|[0-9A-Z]+') then 'base36'
+         when regexp_matches(word, '[a-z]') and regexp_matches(word, '[A-Z]') then 'base64' end as code
+  from z where kind = 'random'
+), v as (
+  select doc_id, b, e, length(a)::double as k,
+         list_transform(string_split(w, ''), lambda c: (instr(a, c) - 1)::double) as v
+  from (select doc_id, b, e,
+          case code when 'base64' then translate(word, '-_', '+/') when 'base32' then word else lower(word) end as w,
+          case code when 'hex' then '0123456789abcdef' when 'base32' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
+            when 'base36' then '0123456789abcdefghijklmnopqrstuvwxyz'
+            else 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' end as a
+        from coded where code is not null)
+), q as (
+  select doc_id, b, e, k, len(v)::double as n,
+    list_sum(list_transform(range(0, k::bigint), lambda s: pow(len(list_filter(v, lambda y: y = s)), 2))) as squares,
+    len(list_filter(v, lambda y: y >= k / 2))::double as ones,
+    len(list_filter(list_zip(v[2:], v[:-2]), lambda r: (r[1] >= k / 2) <> (r[2] >= k / 2)))::double as turns,
+    list_sum(v) as total, list_sum(list_transform(v, lambda y: y * y)) as power,
+    list_sum(list_transform(list_zip(v[2:], v[:-2]), lambda r: r[1] * r[2])) as lagged, v[1] as first, v[-1] as last
+  from v
+), c as (
+  select *, squares * k / n - n as chi, 2e0 / (9e0 * (k - 1)) as spread, 2e0 * ones * (n - ones) as pairs, total / n as mean,
+    power - n * (total / n) * (total / n) as around from q
+), t as (
+  select doc_id, b, e, n,
+    (pow(greatest(chi, 0e0) / (k - 1), 1e0 / 3) - (1e0 - spread)) / sqrt(spread) as z1,
+    case when pairs * (pairs - n) / (n * n * (n - 1)) > 0 then abs(turns - pairs / n) / sqrt(pairs * (pairs - n) / (n * n * (n - 1))) else 10e0 end as z2,
+    case when around > 1e-9 then abs((lagged - mean * (2 * total - first - last) + (n - 1) * mean * mean) / around + 1e0 / n) * sqrt(n) else 10e0 end as z3
+  from c
+), u as (
+  select doc_id, b, e, n, unnest([1, 2, 2]) as sides, unnest([z1, z2, z3]) as z, unnest([1, 2, 3]) as test from t
+), h as (
+  select *, 1e0 / (1e0 + 0.3275911e0 * (abs(z) / sqrt(2e0))) as a, abs(z) / sqrt(2e0) as r from u
+), tail as (
+  select *, 0.5e0 * a * (0.254829592e0 + a * (-0.284496736e0 + a * (1.421413741e0 + a * (-1.453152027e0 + a * 1.061405429e0)))) * exp(-r * r) as half from h
+), p as (
+  select doc_id, b, e, floor(log2(n))::integer as family,
+    least(65536, ceil(3e0 * min(sides * case when z >= 0 then half else 1e0 - half end) * 65536))::integer as p
+  from tail group by doc_id, b, e, n
+), fam as (
+  select family, p, count(*) as n from p group by family, p
+), cum as (
+  select family, p, sum(n) over (partition by family order by p) as below, sum(n) over (partition by family) as every from fam
+), cut as (
+  select family, max(p) as cut from cum where p / 65536e0 <= 0.05e0 * below / every group by family
+), more as (
+  select p.doc_id, 'random' as kind, 3 as rank, p.b, p.e from p left join cut using (family)
+  where p.p > coalesce(cut, -1) and not exists (select 1 from base where base.doc_id = p.doc_id and base.b < p.e and p.b < base.e)
+), spans as (
+  select * from base union all select * from more
+), s as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || b || ':' || e, ',' order by b, rank) filter (kind <> 'random') as base, string_agg(kind || ':' || b || ':' || e, ',' order by b, rank) as spans
+  from spans group by doc_id
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join s using (doc_id)
+"""
