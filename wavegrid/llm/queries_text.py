@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import decontaminate, secret_scan, substring_dedup
+from wavegrid.llm import decontaminate, licence_scan, secret_scan, substring_dedup
+from wavegrid.llm.licence_texts import LICENCES, NOTICES
 from wavegrid.llm.queries import ORACLES, query, table
 
 
@@ -162,3 +163,37 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
 from d left join h using (doc_id) left join c using (doc_id)
 """
+
+
+@query
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license_id", F.size("notices").cast("long").alias("n_notices"), F.array_join("notices", ",").alias("notice_ids"))
+
+
+def _licence_oracle() -> str:
+    def form(x: str) -> str:
+        out = f"' ' || regexp_replace(regexp_replace(translate(lower({x}), chr(13), chr(10)), '{licence_scan.COPYRIGHT}', ' ', 'g'), '{licence_scan.BETWEEN}', ' ', 'g') || ' '"
+        for old, new in licence_scan.EQUIVALENT:
+            out = f"replace({out}, ' {old} ', ' {new} ')"
+        return f"sha256(trim({out}, ' '))"
+
+    def values(known) -> str:
+        return ", ".join(f"('{d}', '{n}')" for d, n in licence_scan.digests(known).items())
+
+    return f"""
+with licences(digest, id) as (values {values(LICENCES)}), notices(digest, id) as (values {values(NOTICES)}),
+d as (select doc_id, text, regexp_matches(text, '{licence_scan.CUE}') as cued from documents),
+w as (select doc_id, {form("text")} as digest from d where cued),
+l as (
+  select doc_id, {form("line")} as digest
+  from (select doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) as line from d where cued) where regexp_matches(line, '{licence_scan.CUE}')
+), n as (
+  select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from l join notices using (digest) group by doc_id
+)
+select d.doc_id, licences.id as license_id, coalesce(n.n, 0)::bigint as n_notices, coalesce(n.ids, '') as notice_ids
+from d left join w using (doc_id) left join licences using (digest) left join n on n.doc_id = d.doc_id
+"""
+
+
+ORACLES["op10_licence_scan"] = _licence_oracle()

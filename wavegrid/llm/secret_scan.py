@@ -194,9 +194,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rat
     return rows.select("doc_id", "base", all_spans(text, F.col("base"), cuts).alias("spans"))
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
+def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become
-    one mark."""
+    one mark.  Where the text changes, ``length_col`` gets its new length."""
     cuts = families(docs, text_col=text_col, rate=rate)
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -210,4 +210,9 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", r
 
     spans = "_spans_" + text_col
     found = docs.withColumn(spans, all_spans(text, base_spans(text), cuts))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, add, end)).otherwise(F.col(text_col))).drop(spans)
+    hidden = F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, add, end)).otherwise(F.col(text_col))
+    found = found.withColumn(text_col, hidden)
+    if length_col:
+        size = F.length(text_col).cast(docs.schema[length_col].dataType)
+        found = found.withColumn(length_col, F.when(F.size(spans) > 0, size).otherwise(F.col(length_col)))
+    return found.select(docs.columns)
