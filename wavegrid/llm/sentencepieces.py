@@ -5,8 +5,8 @@ piece scores, the scores being those of the public model file; a blank stands
 for the word mark, one blank is put in front, and a character that is no piece
 becomes its UTF-8 bytes.  Decoding restores the text exactly.
 
-No piece has a word mark after another character or holds a line feed, so a text
-falls into units whose best cuts are independent; units are cut once and kept in
+No piece has a word mark after another character, a line feed or a letter beside
+another sign (this is checked), so a text falls into units whose best cuts are independent; units are cut once and kept in
 a bounded cache per worker.
 
 A giant document (more than ``GIANT`` characters) is split into chunks of
@@ -32,6 +32,7 @@ in a text becomes bytes and comes back as itself; other columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +44,11 @@ from pyspark.sql import types as T
 
 from wavegrid.llm.common import materialize, partitions
 
-GIANT, CHUNK, CACHE = 1 << 16, 1 << 14, 400_000
+GIANT, CHUNK, CACHE = 1 << 16, 1 << 14, 150_000
 
 _MARK = "▁"
-_UNIT = re.compile(r"\n| *[^ \n]+| +")
+#: Blanks and the letters behind them, or the other characters behind them.
+_UNIT = re.compile(r" *[^\W\d_¹²³]+|\n| *(?:[^\w \n]|[\d_¹²³])+| +")
 _LOW = -(1 << 60)
 
 
@@ -62,8 +64,10 @@ class Vocabulary:
         self.score = {p: int(scores[i]) for p, i in self.ids.items()}
         self.unknown = min(self.score.values()) - 10
         self.longest = max(map(len, self.ids))
+        #: Pieces with their score, and what only begins one with None.
+        self.begins = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.score
         self.text = [raw[i] if i in raw else b"" if i in special else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
-        if any("\n" in p and len(p) > 1 or " " in p.lstrip(" ") for p in self.ids):
+        if not all(map(_UNIT.fullmatch, self.ids)):
             raise ValueError("a piece extends over a unit's border")
 
     def steps(self, text: str, start: int) -> list[tuple[int, int]]:
@@ -114,7 +118,31 @@ class Vocabulary:
         return best[len(unit)], pieces[::-1]
 
     def encode_unit(self, unit: str) -> bytes:
-        return np.array([i for p in self.cut(unit)[1] for i in self.name(p)], np.int32).tobytes()
+        """Ids of :meth:`cut`'s pieces; for each start, pieces are tried while
+        the vocabulary has one that begins so."""
+        size, begins, unknown = len(unit), self.begins, self.unknown
+        best, back = [_LOW] * (size + 1), [0] * (size + 1)
+        best[0] = 0
+        for start in range(size):
+            here, end = best[start], start + 1
+            score = begins.get(unit[start:end], 1)
+            if score is None or score == 1:  # a character that is no piece
+                if here + unknown > best[end]:
+                    best[end], back[end] = here + unknown, start
+            while score != 1:
+                if score is not None and here + score > best[end]:
+                    best[end], back[end] = here + score, start
+                end += 1
+                if end > size:
+                    break
+                score = begins.get(unit[start:end], 1)
+        ids, at, name = [], size, self.ids
+        while at:
+            piece = unit[back[at] : at]
+            one = name.get(piece)
+            ids += (one,) if one is not None else self.name(piece)[::-1]
+            at = back[at]
+        return struct.pack(f"<{len(ids)}i", *reversed(ids))
 
     # Chunks of a giant document.  ``text`` is the chunk and what follows it, up
     # to the longest piece's length less one; ``size`` is the chunk's length.
@@ -222,15 +250,17 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
 
 
 class Cache(dict):
-    """Ids of units as bytes; emptied when full."""
+    """Ids of units as bytes, in two generations: when the young one is full it
+    becomes the old one, from which units still in use come back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.vocabulary.encode_unit(unit)
+        ids = self.old.get(unit) or self.vocabulary.encode_unit(unit)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
         if len(unit) <= 64:
             self[unit] = ids
