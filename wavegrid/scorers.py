@@ -91,10 +91,9 @@ class InverseSigmoidScorer:
 
     inner: AudioScorer
 
-    def __getattr__(self, name):
-        if name == "inner" or name.startswith("__"):
-            raise AttributeError(name)
-        return getattr(self.inner, name)
+    def __post_init__(self):
+        for name in ("species", "sig_fmin", "sig_fmax", "sample_rate", "chunk_size_s"):
+            setattr(self, name, getattr(self.inner, name))
 
     def predict_species(self, batch: np.ndarray) -> np.ndarray:
         p = np.asarray(self.inner.predict_species(batch), np.float32)

@@ -32,7 +32,7 @@ def register(name: str):
     return add
 
 
-def make(name: str, **settings) -> object:
+def make(name: str, /, **settings) -> object:
     """The scorer of that name."""
     if name not in _registry:
         raise ValueError(f"no classifier {name!r}; there are {', '.join(sorted(_registry))}")
