@@ -8,8 +8,8 @@
 4. An isotonic fit on labelled rows that were kept out of step 3 turns the
    ridge score into the probability of label 1.
 
-Statistics and features are rounded to fixed point before they are summed, so
-the sums are whole numbers and the fit doesn't depend on how rows are dealt
+Statistics, projections and features are rounded to fixed point before they are
+summed, so the sums are exact and the fit doesn't depend on how rows are dealt
 over partitions.
 
 Labels are learned from a sample of at most ``max_fit_rows`` labelled rows (the
@@ -44,6 +44,10 @@ PORTION = 1 << 20
 #: Fixed-point scales of the statistics and of the Fourier features.
 UNIT, FEATURE_UNIT = 1 << 14, 1 << 12
 
+#: Projections take factors of so many places, so that their sums are exact in
+#: whatever order they are added.
+PLACES = 1 << 12
+
 _byte = np.arange(256)
 _UPPER = (_byte >= 65) & (_byte <= 90)
 _LOWER = (_byte >= 97) & (_byte <= 122)
@@ -93,7 +97,9 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[i, 11] = len(set(lines)) / len(lines)
         out[i, 12] = max(seen.values()) / len(words)
     spaces = SPACE[data]
-    ends = np.flatnonzero(~spaces & np.append(spaces[1:], True))
+    behind = np.append(spaces[1:], True)
+    behind[offsets[1:][full] - 1] = True  # a text's last word ends with it
+    ends = np.flatnonzero(~spaces & behind)
     marked = np.zeros(len(data) + 1, np.int64)
     marked[ends + 1] = (mask[ends] & 0b1110000 | mask[ends] & 0b1000) != 0
     held = np.zeros(len(data) + 1, np.int64)
@@ -119,7 +125,7 @@ class Model:
     def features(self, x: np.ndarray) -> np.ndarray:
         """Fourier features, as whole multiples of 1 / ``FEATURE_UNIT``, and a
         constant."""
-        z = np.clip((x - self.centre) / self.scale, -6, 6)
+        z = np.rint(np.clip((x - self.centre) / self.scale, -6, 6) * PLACES) / PLACES
         z = np.rint(np.cos(z @ self.w + self.b) * FEATURE_UNIT)
         return np.column_stack([z, np.full(len(x), float(FEATURE_UNIT))])
 
@@ -205,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         sums = sample.agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high"), *(F.sum(F.col("x")[k]).alias(f"s{k}") for k in range(size)), *(F.sum(F.col("x")[k].cast("decimal(38,0)") * F.col("x")[k]).alias(f"q{k}") for k in range(size))).first()
         n = sums["n"]
         rng = np.random.default_rng(seed)
-        w, b = rng.standard_normal((size, n_features)) / width, rng.uniform(0, 2 * np.pi, n_features)
+        w = np.rint(rng.standard_normal((size, n_features)) / width * PLACES) / PLACES
+        b = rng.uniform(0, 2 * np.pi, n_features)
         if not n or sums["low"] == sums["high"]:
             level = 0.5 if not n else float(sums["low"])
             return Model(np.zeros(size), np.ones(size), w, b, None, np.zeros(1), np.array([min(max(level, 0.0), 1.0)]))
