@@ -36,6 +36,7 @@ EQUIVALENT = [
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("sublicence", "sublicense"),
     ("sub license", "sublicense"),
     ("sub licence", "sublicense"),
     ("noninfringement", "non infringement"),
