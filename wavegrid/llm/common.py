@@ -4,6 +4,7 @@ and vectorised word hashing."""
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,13 +29,14 @@ SEGMENT = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; a session that names none
-    (as in tests) gets a temporary folder, which then is set there.
+    It is the one named in ``spark.checkpoint.dir``, or set on the context.  Only
+    a session on one machine (as in tests) that names none gets a temporary
+    folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("wavegrid.shared.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("wavegrid.shared.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         path = "file://" + tempfile.mkdtemp(prefix="wavegrid-")
         spark.conf.set("wavegrid.shared.dir", path)
     return path
