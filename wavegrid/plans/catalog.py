@@ -540,7 +540,7 @@ def location_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("req_id", F.coalesce("week", F.lit(-1)).alias("week"), F.explode("predictions").alias("p")).select("req_id", "week", F.col("p.species").alias("species"), F.round(F.col("p.confidence").cast("double"), 4).alias("confidence"))
 
 
-@query("dsp_filter", """select * from (values ('bandpass', 5000, 0.71), ('bandpass', 10000, 0.71), ('highpass', 10000, 0.71), ('lowpass', 10000, 0.71), ('none', 12000, 1.0)) t(action, hertz, gain)""")
+@query("dsp_filter", """select * from (values ('bandpass', 5000, 0.71e0), ('bandpass', 10000, 0.71e0), ('highpass', 10000, 0.71e0), ('lowpass', 10000, 0.71e0), ('none', 12000, 1e0)) t(action, hertz, gain)""")
 def dsp_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain of steady sines at the cut-offs, 3 dB down."""
     rows = spark.createDataFrame([("bandpass", 5000), ("bandpass", 10000), ("highpass", 10000), ("lowpass", 10000), ("none", 12000)], "action string, hertz int")
