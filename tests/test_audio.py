@@ -154,3 +154,16 @@ def test_bad_run_settings(spark, tmp_path):
 
 def test_no_files(spark):
     assert api.predict_species_within_audio_files(spark, [], scorer=DUMMY).count() == 0
+
+
+def test_ranges_equal_whole_files(spark, tmp_path):
+    for name, content in (("a", tone(31, 22_050)), ("b", tone(4, 48_000)), ("c", b"junk"), ("d", tone(1, 8000, 2))):
+        (tmp_path / f"{name}.wav").write_bytes(content)
+    whole = audio.scores(audio.files(spark, str(tmp_path)), linear(), overlap_s=1.0).collect()
+    paths = spark.createDataFrame([(str(p),) for p in sorted(tmp_path.glob("*.wav"))], "path string")
+    parts = audio.scores_of_ranges(paths, linear(), overlap_s=1.0, batch_size=4).collect()
+    key = lambda r: (r.path[-5:], r.chunk_idx if r.chunk_idx is not None else -1)
+    assert sorted(map(key, whole)) == sorted(map(key, parts))
+    for x, y in zip(sorted(whole, key=key), sorted(parts, key=key)):
+        assert (x.start_s, x.end_s, x.error is None) == (y.start_s, y.end_s, y.error is None)
+        assert x.logits is None or np.allclose(x.logits, y.logits, atol=1e-5)
