@@ -138,10 +138,10 @@ def filter_species(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "attach_labels",
-    f"""with {_CHUNKS} select path, chunk_idx, i::integer as label_idx, species, round(logit::double, 6) as score from named where i < 40""",
+    f"""with {_CHUNKS} select path, chunk_idx, i::integer as label_idx, species, round(logit::double, 6) as score from named""",
 )
 def attach_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame(list(enumerate(NAMES[:40])), "label_idx int, species string")
+    names = spark.createDataFrame(list(enumerate(NAMES)), "label_idx int, species string")
     rows = post.attach_long(scored(spark, sf_dir).select("path", "chunk_idx", "logits"), names)
     return rows.select("path", "chunk_idx", "label_idx", "species", rounded("score").alias("score"))
 
@@ -357,25 +357,30 @@ def occurring_species(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "matrix_pivot",
-    "with " + _CHUNKS + " select species, " + ", ".join(f"coalesce(max(case when chunk_idx = {i} and logit::double >= 0.1e0 then logit end), 0)::float as c{i}" for i in range(5)) + " from named group by species",
+    "with " + _CHUNKS + " select species, " + ", ".join(f"coalesce(max(case when path = '{i}' and logit::double >= 0.3e0 then logit end), 0)::float as r{i}" for i in range(10)) + " from named group by species",
 )
 def matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = post.long_form(post.predictions(scored(spark, sf_dir), NAMES, apply_sigmoid=False, min_confidence=0.1))
-    wide = compare.matrix(rows.where("chunk_idx < 5"), list(range(5)), species=NAMES)
-    return wide.select("species", *(F.col(str(i)).alias(f"c{i}") for i in range(5)))
+    """Best confidence of each species in each recording, 0 where it is absent."""
+    rows = post.long_form(post.predictions(scored(spark, sf_dir), NAMES, apply_sigmoid=False, min_confidence=0.3), outer=False)
+    best = rows.groupBy("path", "species").agg(F.max("confidence").alias("confidence"))
+    wide = compare.matrix(best, [str(i) for i in range(10)], species=NAMES, index="path")
+    return wide.select("species", *(F.col(str(i)).alias(f"r{i}") for i in range(10)))
 
 
 @query(
     "pred_equality",
-    """with l as (select event_id, value from events where event_id % 7 <> 0), r as (select event_id, value + case when event_id % 11 = 0 then 0.001 when event_id % 13 = 0 then 0.0000001 else 0 end as value from events where event_id % 17 <> 0)
+    """with l as (select event_id, value from events where value >= 5),
+r as (select event_id, value + case when value >= 300 then 0.001e0 when value >= 200 then 0.0000001e0 else 0e0 end as value from events where value < 480)
 select coalesce(l.event_id, r.event_id) as event_id, l.event_id is not null as in_left, r.event_id is not null as in_right from l full join r on l.event_id = r.event_id
 where l.event_id is null or r.event_id is null or not (abs(l.value - r.value) <= greatest(1e-5, 1e-9 * greatest(abs(l.value), abs(r.value))))""",
 )
 def pred_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two result sets that lack each other's lowest and highest values and
+    differ in some: what is on one side only, and what is not close."""
     events = table(spark, sf_dir, "events")
-    shift = F.when(F.col("event_id") % 11 == 0, 0.001).when(F.col("event_id") % 13 == 0, 1e-7).otherwise(0.0)
-    left = events.where("event_id % 7 <> 0").select("event_id", F.col("value").alias("confidence"))
-    right = events.where("event_id % 17 <> 0").select("event_id", (F.col("value") + shift).alias("confidence"))
+    shift = F.when(F.col("value") >= 300, 0.001).when(F.col("value") >= 200, 1e-7).otherwise(0.0)
+    left = events.where("value >= 5").select("event_id", F.col("value").alias("confidence"))
+    right = events.where("value < 480").select("event_id", (F.col("value") + shift).alias("confidence"))
     found = compare.differences(left, right, decimals=5, keys=["event_id"])
     return found.select("event_id", F.col("left_confidence").isNotNull().alias("in_left"), F.col("right_confidence").isNotNull().alias("in_right"))
 
