@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from wavegrid.llm.common import materialize, mix, partitions, portions, ragged, run_hashes, text_key, utf8, word_hashes
 
-SIZE, SEED = 20, 4
+SIZE, SEED = 20, 3
 
 #: Bytes of text packed at once, buckets per shuffle partition.
-PORTION, BUCKETS = 1 << 22, 8
+PORTION, BUCKETS = 1 << 22, 4
 
 #: One document in SAMPLE is looked at for hot minimisers; a minimiser is hot
 #: from HOT sampled super-k-mers on, and from the 2**-18 part of all of them.
@@ -147,7 +147,7 @@ def merged(doc, key, start, count) -> tuple[np.ndarray, ...]:
 
 def _pack(size: int, hot: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(_NO_ID), dtype=np.int64)
             keys = np.asarray(batch.column(1), dtype=np.int64)
