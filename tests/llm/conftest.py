@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, key int, score string, label string, words string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, key int, score string, label string, words string, _doc bigint, _key bigint, spans string, nth int, text_key string, kept boolean, term string"
 
 
 @pytest.fixture
@@ -10,7 +10,7 @@ def docs(spark):
 
     def make(rows, partitions=None):
         rows = [(*r, *([None] * (5 - len(r)))) for r in rows]
-        full = [(i, t, lang, source, None if t is None else len(t), "x", 1, "y", "z", "w") for i, t, lang, source, _ in rows]
+        full = [(i, t, lang, source, None if t is None else len(t), "x", 1, "y", "z", "w", 1, 2, "s", 3, "t", True, "u") for i, t, lang, source, _ in rows]
         df = spark.createDataFrame(full, SCHEMA)
         return df.repartition(partitions) if partitions else df
 

@@ -75,6 +75,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share an id: 0 for null, else a hash of the text."""
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))

@@ -136,4 +136,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     window of any item."""
     found = hits(docs, items, id_col=id_col, text_col=text_col, item_id=item_id, item_text=item_text, size=size).where("n_hit > 0")
     bad = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_doc")) & (text_key(docs[text_col]) == F.col("_key")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_doc"]) & (text_key(docs[text_col]) == bad["_key"]), "left_anti")

@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavegrid.llm.common import fresh
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Shorter matches fail, so the rules for runs ask for the length at once.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
@@ -208,7 +210,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     def end(state: Column) -> Column:
         return F.concat(state["out"], F.col(text_col).substr((state["at"] + 1).cast("int"), F.length(F.col(text_col))))
 
-    spans = "_spans_" + text_col
+    spans = fresh(docs, "spans")
     found = docs.withColumn(spans, all_spans(text, base_spans(text), cuts))
     hidden = F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, add, end)).otherwise(F.col(text_col))
     found = found.withColumn(text_col, hidden)
