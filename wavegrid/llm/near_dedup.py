@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import SPACE, materialize, mix, partitions, portions, text_key, utf8, word_hashes
+from wavegrid.llm.common import SPACE, fresh, materialize, mix, partitions, portions, text_key, utf8, word_hashes
 from wavegrid.llm.components import components
 
 BANDS, BAND_ROWS, BINS = 32, 5, 256
@@ -302,12 +302,11 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, percent=percent).select("doc_id", "text_key", "kept")
     found = materialize(found, "kept")
-    verdict = found.where("not kept").select("doc_id", F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", text_key(F.col(text_col)))
-    same = keyed[id_col].eqNullSafe(verdict["doc_id"]) & (keyed["_key"] == verdict["_key"])
-    out = keyed.join(verdict, same, "left_anti").drop("_key")
+    verdict = found.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+    same = docs[id_col].eqNullSafe(verdict["_doc"]) & (text_key(docs[text_col]) == verdict["_key"])
+    out = docs.join(verdict, same, "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
-        nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-        out = out.where(F.col(id_col).isNotNull()).withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(out.where(F.col(id_col).isNull()))
+        nth, rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))), fresh(docs, "nth")
+        out = out.where(F.col(id_col).isNotNull()).withColumn(rank, nth).where(F.col(rank) == 1).drop(rank).unionByName(out.where(F.col(id_col).isNull()))
     return out
