@@ -42,7 +42,7 @@ from wavegrid.llm.components import components
 BANDS, BAND_ROWS, BINS = 32, 5, 256
 
 #: Bytes of text described at once, and members of a band held at once.
-PORTION, BLOCK = 1 << 21, 256
+PORTION, BLOCK = 1 << 20, 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -120,7 +120,7 @@ def super_minhash(docs: np.ndarray, elements: np.ndarray, rows: int, size: int)
             break
         value = (mix(elements + np.uint64((j + 1) * int(_G1) % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         pick = (mix(elements ^ np.uint64((j + 1) * int(_G2) % 2**64)) % np.uint64(size - j)).astype(np.int64) + j
-        if slots is None and j >= 4 and len(docs) * size <= 1 << 24:
+        if slots is None and j >= 4 and len(docs) * size <= 1 << 22:
             slots = np.tile(np.arange(size, dtype=np.int16), (len(docs), 1))
             every = np.arange(len(docs))
             for t, s in enumerate(swaps):
