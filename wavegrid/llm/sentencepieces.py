@@ -64,8 +64,14 @@ class Vocabulary:
         self.score = {p: int(scores[i]) for p, i in self.ids.items()}
         self.unknown = min(self.score.values()) - 10
         self.longest = max(map(len, self.ids))
-        #: Pieces with their score, and what only begins one with None.
-        self.begins = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.score
+        #: By first character: [the same by the next one, score of the piece that
+        #: ends here or None].
+        self.tree: dict = {}
+        for piece, score in self.score.items():
+            level = self.tree
+            for c in piece[:-1]:
+                level = level.setdefault(c, [{}, None])[0]
+            level.setdefault(piece[-1], [{}, None])[1] = score
         self.text = [raw[i] if i in raw else b"" if i in special else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         if not all(map(_UNIT.fullmatch, self.ids)):
             raise ValueError("a piece extends over a unit's border")
@@ -118,31 +124,36 @@ class Vocabulary:
         return best[len(unit)], pieces[::-1]
 
     def encode_unit(self, unit: str) -> bytes:
-        """Ids of :meth:`cut`'s pieces; for each start, pieces are tried while
-        the vocabulary has one that begins so."""
-        size, begins, unknown = len(unit), self.begins, self.unknown
+        """Ids of :meth:`cut`'s pieces; from each start the tree of pieces is
+        followed as far as the unit goes along."""
+        size, tree, unknown, ids = len(unit), self.tree, self.unknown, self.ids
         best, back = [_LOW] * (size + 1), [0] * (size + 1)
         best[0] = 0
         for start in range(size):
             here, end = best[start], start + 1
-            score = begins.get(unit[start:end], 1)
-            if score is None or score == 1:  # a character that is no piece
-                if here + unknown > best[end]:
-                    best[end], back[end] = here + unknown, start
-            while score != 1:
+            node = tree.get(unit[start])
+            if (node is None or node[1] is None) and here + unknown > best[end]:
+                best[end], back[end] = here + unknown, start
+            while node is not None:
+                score = node[1]
                 if score is not None and here + score > best[end]:
-                    best[end], back[end] = here + score, start
-                end += 1
-                if end > size:
+                    best[end] = here + score
+                    back[end] = start
+                if end == size:
                     break
-                score = begins.get(unit[start:end], 1)
-        ids, at, name = [], size, self.ids
+                node = node[0].get(unit[end])
+                end += 1
+        found, at = [], size
         while at:
             piece = unit[back[at] : at]
-            one = name.get(piece)
-            ids += (one,) if one is not None else self.name(piece)[::-1]
+            one = ids.get(piece)
+            if one is not None:
+                found.append(one)
+            else:
+                found += self.name(piece)[::-1]
             at = back[at]
-        return struct.pack(f"<{len(ids)}i", *reversed(ids))
+        found.reverse()
+        return struct.pack(f"<{len(found)}i", *found)
 
     # Chunks of a giant document.  ``text`` is the chunk and what follows it, up
     # to the longest piece's length less one; ``size`` is the chunk's length.
