@@ -68,6 +68,57 @@ def test_every_link_of_a_large_band_counts(docs, monkeypatch):
     assert run(docs(rows, 4), 1) == brute(rows, 1, 80)
 
 
+def near_copies(seed, n, words=100, least=3, most=5):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randint(least, most)):
+            w[at] = f"x{rng.randrange(200)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_large_group_passes_on_few_links(docs, monkeypatch):
+    """2,000 near copies, most of which are linked with few others: what the tiles
+    pass on stays below one link for each row that they are given, and all links
+    of pairs that share a band count."""
+    rows, tables, made = near_copies(7, 2000), {}, nd.materialize
+
+    def kept(df, name):
+        tables[name] = made(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(nd, "materialize", kept)
+    monkeypatch.setattr(nd, "BLOCK", 300)
+    got = run(docs(rows, 4), 2)
+    assert got == brute(rows, 2, 80)
+    assert tables["more-links"].count() < tables["open-members"].count() / 8
+    assert tables["more-links"].count() < len(rows)
+
+
+def test_tiles_equal_brute_force(monkeypatch):
+    rows = near_copies(3, 150, 60) + [(200 + i, t) for i, t in corpus(5, 60) if t]
+    words = [nd.normal(t.encode()) for _, t in rows]
+    for dense, cells in ((2, 1 << 20), (16, 1 << 20), (2, 300), (1000, 0)):
+        monkeypatch.setattr(nd, "DENSE", dense)
+        monkeypatch.setattr(nd, "CELLS", cells)
+        tile = nd._Tile(0, 2, 80)
+        for i, w in enumerate(words):
+            tile.add(b"%d" % i, b"%d" % i, w)
+        joined = UnionFind()
+        for a, b in tile.links([b"%d" % i for i in range(len(words))], [b"%d" % i for i in range(len(words))], words):
+            joined.union(int(a), int(b))
+        want = UnionFind()
+        for i in range(len(words)):
+            for j in range(i):
+                if nd.similar(words[i], words[j], 2, 80):
+                    want.union(i, j)
+        assert {joined.find(i) for i in range(len(words))} == {want.find(i) for i in range(len(words))}
+        assert all(joined.find(i) == want.find(i) for i in range(len(words)))
+
+
 def test_odd_rows(docs, odd_rows):
     rows = odd_rows + [(20, "ONE Two three"), (None, "word " * 3000), (21, "alpha")]
     assert run(docs(rows, 3), 2) == brute(rows, 2, 80)

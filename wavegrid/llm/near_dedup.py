@@ -1,28 +1,38 @@
 """Near-duplicate grouping by SuperMinHash.
 
 1. One pass over the texts gives each document its shingle count, a 128-bit
-   digest of its word sequence, band keys and a count sketch.  The signature is
-   SuperMinHash: an element's slots are the steps of one permutation per
-   element, its value in step j is j plus a fraction, and a document stops at
-   the first step from which no later value could be lower.
+   digest of its word sequence and band keys.  The signature is SuperMinHash: an
+   element's slots are the steps of one permutation per element, its value in
+   step j is j plus a fraction, and a document stops at the first step from which
+   no later value could be lower.
 2. Documents of equal word sequence form a class at once; only classes go on.
 3. Classes that share a band meet.  In each band a pivot (by a hash, so it
    differs between bands) is compared with every other member; a comparison
-   counts the shingles of both whole texts.
+   counts the shingles of both whole texts.  Components come from union-find and
+   star contraction.
 4. Where a band of three or more still has several components, each member
-   outside its main component is held against all others of the band, block by
-   block; pairs that their sketches can't exclude are compared as in 3.  After
-   that every two members of a band are compared or in one component.
-5. Components come from union-find and star contraction.
+   outside its main component is held against all others of the band.  The band
+   is cut into tiles of at most ``BLOCK`` members by ``BLOCK`` outsiders (fewer
+   where texts are long), and a tile's task verifies its pairs itself: it counts
+   common shingles of the whole texts, keeps a union-find over the components it
+   sees, and passes on only links that join two of them, so at most one for each
+   row that it was given.  After that every two members of a band are compared or
+   in one component.
 
 Two documents of similarity s share one of the 32 bands of 5 values with
 probability 1 - (1 - s**5)**32: 0.999997 at 0.8.
 
+Hot keys: counts and pivots of bands are summed before their shuffle and stored,
+so that the joins behind them stand alone in their stage and adaptive execution
+can split a hot band, pivot or class there.
+
 Words are runs of other than ASCII white space, A to Z lower-cased.  A text with
 fewer words than a shingle is one shingle of all its words; a null or blank text
 has none, and is its own group.  Rows that share an id and the text are in one
 group; rows that share an id only are apart.  A null id counts last: a group's
-id is its least id that is not null, and is null if there is none.
+id is its least id that is not null, and is null if there is none.  Ties: a
+similarity of exactly ``percent`` / 100 links.  An empty table gives an empty
+one.  Other columns are not read and can have any names.
 """
 
 from __future__ import annotations
@@ -36,13 +46,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import SPACE, fresh, materialize, mix, partitions, portions, text_key, utf8, word_hashes
-from wavegrid.llm.components import components
+from wavegrid.llm.common import SPACE, fresh, materialize, mix, partitions, portions, ragged, text_key, utf8, word_hashes
+from wavegrid.llm.components import UnionFind, components
+from wavegrid.runtime import ship
+
+BANDS, BAND_ROWS = 32, 5
 
-BANDS, BAND_ROWS, BINS = 32, 5, 256
+#: Bytes of text described at once; members of a band that a tile holds, and the
+#: shingles that they may have; outsiders compared at once.
+PORTION, BLOCK, BLOCK_SHINGLES, ROUND = 1 << 20, 1024, 1 << 21, 256
 
-#: Bytes of text described at once, and members of a band held at once.
-PORTION, BLOCK = 1 << 20, 256
+#: Members that a shingle needs for a column in a tile's table, and its cells.
+DENSE, CELLS = 16, 1 << 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -162,15 +177,12 @@ def _describe(k: int, bands: int, band_rows: int):
                 signatures = super_minhash(docs, values, rows, bands * band_rows)
                 keys = bands_of(signatures, bands, band_rows)
                 n = np.bincount(docs, minlength=rows)
-                sketch = np.bincount(docs * BINS + (values % np.uint64(BINS)).astype(np.int64), minlength=rows * BINS).reshape(rows, BINS)
-                small = sketch.max(axis=1) < 256 if rows else np.zeros(0, bool)
-                sketch = sketch.astype(np.uint8)
                 raw = part.tobytes()
                 digests = [hashlib.blake2b(normal(raw[a - own[0] : b - own[0]]), digest_size=16).digest() for a, b in zip(own[:-1], own[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(digests, pa.binary()), pa.array(n.astype(np.int64)), lists, pa.array([s.tobytes() if ok and c else b"" for s, ok, c in zip(sketch, small, n)], pa.binary())],
-                    names=["doc_id", "text_key", "key", "n", "bands", "sketch"],
+                    [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(digests, pa.binary()), pa.array(n.astype(np.int64)), lists],
+                    names=["doc_id", "text_key", "key", "n", "bands"],
                 )
 
     return run
@@ -204,40 +216,118 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _sweep(percent: int):
-    """Pairs of a member outside the main component and any other of its band
-    in another component that size and sketch allow.  Within (band, part) the
-    block comes first."""
+class _Tile:
+    """The members of a band's part, and the components known so far."""
+
+    def __init__(self, group, k: int, percent: int):
+        self.group, self.k, self.percent = group, k, percent
+        self.keys: list[bytes] = []
+        self.words: list[bytes] = []
+        self.labels: list[bytes] = []
+        self.sets = UnionFind()
+        self.ready = False
+
+    def add(self, key: bytes, label: bytes, words: bytes) -> None:
+        self.keys.append(key)
+        self.labels.append(label)
+        self.words.append(words)
+
+    def _lay_out(self) -> None:
+        """Shingles of the members by column: those of many members as a table,
+        the others as lists of members."""
+        doc, value = _hashed(self.words, self.k)
+        rows = len(self.keys)
+        self.columns, column, count = np.unique(value, return_inverse=True, return_counts=True)
+        wide = np.flatnonzero(count >= DENSE)
+        wide = wide[np.argsort(-count[wide], kind="stable")][: CELLS // max(rows, 1)]
+        self.place = np.full(len(self.columns), -1)
+        self.place[wide] = np.arange(len(wide))
+        at = self.place[column]
+        self.table = np.zeros((rows, len(wide)), np.float32)
+        self.table[doc[at >= 0], at[at >= 0]] = 1
+        thin = at < 0
+        order = np.argsort(column[thin], kind="stable")
+        self.thin = doc[thin][order]
+        self.count = np.where(self.place < 0, count, 0)
+        self.first = np.cumsum(self.count) - self.count
+        self.sizes = np.bincount(doc, minlength=rows)
+        self.ready = True
+
+    def common(self, doc: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """Common shingles of each of ``rows`` texts and each member."""
+        at = np.minimum(np.searchsorted(self.columns, value), max(len(self.columns) - 1, 0))
+        known = self.columns[at] == value if len(self.columns) else np.zeros(len(value), bool)
+        doc, at = doc[known], at[known]
+        place = self.place[at]
+        table = np.zeros((rows, self.table.shape[1]), np.float32)
+        table[doc[place >= 0], place[place >= 0]] = 1
+        out = np.rint(table @ self.table.T).astype(np.int64)
+        doc, at = doc[place < 0], at[place < 0]
+        member = self.thin[ragged(self.first[at], self.count[at])]
+        cells = np.repeat(doc, self.count[at]) * len(self.keys) + member
+        return out + np.bincount(cells, minlength=out.size).reshape(out.shape)
+
+    def links(self, keys: list[bytes], labels: list[bytes], words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Links of these outsiders with members that join two components."""
+        if not self.keys or not keys:
+            return []
+        if not self.ready:
+            self._lay_out()
+        doc, value = _hashed(words, self.k)
+        both = self.common(doc, value, len(keys))
+        sizes = np.bincount(doc, minlength=len(keys))
+        close = 100 * both >= self.percent * (sizes[:, None] + self.sizes[None, :] - both)
+        found = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(close))):
+            if self.sets.find(labels[i]) != self.sets.find(self.labels[j]) and similar(words[i], self.words[j], self.k, self.percent):
+                self.sets.union(labels[i], self.labels[j])
+                found.append((min(keys[i], self.keys[j]), max(keys[i], self.keys[j])))
+        return found
+
+
+def similar(a: bytes, b: bytes, k: int, percent: int) -> bool:
+    """Whether two :func:`normal` texts are linked, by their shingles themselves."""
+    x, y = shingle_set(a, k), shingle_set(b, k)
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _hashed(words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(words), np.uint8)
+    return shingles(data, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64), k)
+
+
+def _sweep(k: int, percent: int):
+    """Links that join two components, of each (band, part, side): the members of
+    ``part`` come first, then the outsiders of ``side``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, ready = None, [], None
-        for batch in batches:
-            left, right = [], []
-            for r in batch.to_pylist():
-                if (r["band"], r["part"]) != group:
-                    group, members, ready = (r["band"], r["part"]), [], None
-                if r["kind"] == 0:
-                    members.append(r)
-                    continue
-                if ready is None:
-                    sizes = np.array([m["n"] for m in members], np.int64)
-                    blind = np.array([not m["sketch"] for m in members], bool)
-                    sketches = np.stack([np.frombuffer(m["sketch"] or bytes(BINS), np.uint8) for m in members]) if members else None
-                    ready = sizes, blind, sketches
-                if not members:
-                    continue
-                sizes, blind, sketches = ready
-                total = sizes + r["n"]
-                ok = 100 * np.minimum(sizes, r["n"]) >= percent * np.maximum(sizes, r["n"])
-                if r["sketch"]:
-                    bound = np.minimum(sketches, np.frombuffer(r["sketch"], np.uint8)).sum(axis=1, dtype=np.int64)
-                    ok &= blind | ((100 + percent) * bound >= percent * total)
-                for i in np.flatnonzero(ok):
-                    if members[i]["label"] != r["label"]:
-                        x, y = sorted((members[i]["key"], r["key"]))
-                        left.append(x)
-                        right.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+        unpack = zstandard.ZstdDecompressor()
+        tile, waiting = None, ([], [], [])
+
+        def done() -> pa.RecordBatch:
+            found = tile.links(*waiting) if tile else []
+            for x in waiting:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
+
+        held = 0
+        for r in (r for batch in batches for at in range(0, batch.num_rows, ROUND) for r in batch.slice(at, ROUND).to_pylist()):
+            group = r["band"], r["part"], r["side"]
+            if tile is None or group != tile.group:
+                yield done()
+                tile, held = _Tile(group, k, percent), 0
+            words = unpack.decompress(r["words"])
+            if r["kind"] == 0:
+                tile.add(r["key"], r["label"], words)
+                continue
+            for x, y in zip(waiting, (r["key"], r["label"], words)):
+                x.append(y)
+            held += len(words)
+            if len(waiting[0]) >= ROUND or held >= PORTION:
+                yield done()
+                held = 0
+        yield done()
 
     return run
 
@@ -250,46 +340,55 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of ``k``-word shingles on; ``kept`` marks the rows whose id is their
     group's.
     """
+    ship(docs.sparkSession)
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    described = materialize(keyed.mapInArrow(_describe(k, bands, band_rows), "doc_id bigint, text_key bigint, key binary, n bigint, bands array<bigint>, sketch binary"), "described")
-    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    described = materialize(keyed.mapInArrow(_describe(k, bands, band_rows), "doc_id bigint, text_key bigint, key binary, n bigint, bands array<bigint>"), "described")
+    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
 
     met = classes.select(F.explode("bands").alias("band"), "key", "n")
-    by_band = Window.partitionBy("band")
-    met = met.select("*", F.count("*").over(by_band).alias("size"), F.first(F.struct("key", "n")).over(by_band.orderBy(F.xxhash64("key", "band"), "key")).alias("pivot"))
-    met = materialize(met.where("size > 1").select("band", "key", "n", "size", "pivot"), "met")
+    shared = met.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key", "n")).alias("pivot")).where("size > 1")
+    shared = materialize(shared, "shared-bands")
+    met = materialize(met.join(shared, "band"), "met")
     pairs = met.where((F.col("key") != F.col("pivot.key")) & (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")))
     pairs = materialize(pairs.select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b")).distinct(), "pairs")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
-        texts = rows.mapInArrow(_payload, "doc_id bigint, key binary, words binary").withColumnRenamed("key", "own")
-        held = wanted.join(texts, F.col("key").eqNullSafe(F.col("own")) & F.col("rep").eqNullSafe(F.col("doc_id"))).select("key", "words").dropDuplicates(["key"])
-        held = materialize(held, "texts")
-        both = pairs.join(held.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b").join(held.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
-        return materialize(both.select("a", "b", "wa", "wb").mapInArrow(_confirm(k, percent), "a binary, b binary"), "links")
-
-    links = confirmed(pairs)
-    labels = materialize(components(links), "labels")
-
-    wide = met.where("size > 2").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    main = wide.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = wide.join(main, "band").join(classes.select("key", "sketch"), "key").select("band", "key", "n", "label", "sketch", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    block = open_.select("band", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "key", "n", "label", "sketch")
-    outside = open_.where("label <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "key", "n", "label", "sketch")
-    more = block.unionByName(outside).repartition(n, "band", "part").sortWithinPartitions("band", "part", "kind")
-    more = materialize(more.mapInArrow(_sweep(percent), "a binary, b binary").distinct(), "more-pairs")
+    wanted = materialize(met.select("key").distinct(), "wanted-keys").join(classes.select("key", "rep"), "key")
+    texts = rows.mapInArrow(_payload, "doc_id bigint, key binary, words binary").withColumnRenamed("key", "own")
+    held = wanted.join(texts, F.col("key").eqNullSafe(F.col("own")) & F.col("rep").eqNullSafe(F.col("doc_id"))).dropDuplicates(["key", "rep"]).select("key", "words")
+    held = materialize(held, "texts")
+    both = pairs.join(held.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b").join(held.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
+    links = materialize(both.select("a", "b", "wa", "wb").mapInArrow(_confirm(k, percent), "a binary, b binary"), "links")
+    labels = components(links)
+
+    wide = met.where("size > 2").select("band", "key", "size", "total").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    wide = materialize(wide.withColumn("label", F.coalesce("label", "key")), "members")
+    per_label = wide.groupBy("band", "label").agg(F.count("*").alias("c"))
+    main = per_label.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.count("*").alias("labels")).where("labels > 1").select("band", "main", "most")
+    main = materialize(main, "open-bands")
+
+    def tiles(rows, total):
+        """Parts that so many rows, of so many shingles, are cut into."""
+        return F.greatest(F.lit(1), F.ceil(rows / F.lit(BLOCK)), F.ceil(total / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    outside = F.col("size") - F.col("most")
+    open_ = wide.join(main, "band").select("band", "key", "label", (F.col("label") != F.col("main")).alias("out"), tiles(F.col("size"), F.col("total")).alias("parts"), tiles(outside, F.col("total") * outside / F.col("size")).alias("sides"))
+    open_ = materialize(open_.join(held, "key"), "open-members")
+    part, side = F.pmod(F.xxhash64("key"), "parts").cast("int"), F.pmod(F.xxhash64("key"), "sides").cast("int")
+    block = open_.select("band", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.lit(0).alias("kind"), "key", "label", "words")
+    outer = open_.where("out").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), side.alias("side"), F.lit(1).alias("kind"), "key", "label", "words")
+    swept = block.unionByName(outer).repartition(n, "band", "part", "side").sortWithinPartitions("band", "part", "side", "kind")
+    more = materialize(swept.mapInArrow(_sweep(k, percent), "a binary, b binary").distinct(), "more-links")
     if not more.isEmpty():
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(confirmed(more))
-        labels = materialize(components(links), "labels")
+        labels = components(links.unionByName(more))
 
-    named = classes.select("key", "rep").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    groups = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("key", "component_id")
-    out = described.select("doc_id", "text_key", "key", "n").join(groups, "key", "left")
+    linked = labels.withColumnRenamed("node", "key").join(classes.select("key", "rep"), "key")
+    least = materialize(linked.groupBy("label").agg(F.min("rep").alias("component_id")), "groups")
+    named = classes.select("key", "rep").join(linked.join(least, "label").select("key", "component_id"), "key", "left")
+    named = materialize(named.select("key", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    out = described.select("doc_id", "text_key", "key", "n").join(named, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
 
