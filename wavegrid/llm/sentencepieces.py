@@ -3,37 +3,48 @@
 An encoding is the cut of a text into vocabulary pieces with the largest sum of
 piece scores, the scores being those of the public model file; a blank stands
 for the word mark, one blank is put in front, and a character that is no piece
-becomes its UTF-8 bytes.  Decoding restores the text exactly.
+becomes its UTF-8 bytes (or, in a vocabulary without bytes, the unknown piece,
+once for a run of such characters).  With bytes, decoding restores the text
+exactly.  Scores are whole numbers of 2**-24, or of 1 where the file has whole
+scores only, so that sums do not depend on their order.
 
-No piece has a word mark after another character, a line feed or a letter beside
-another sign (this is checked), so a text falls into units whose best cuts are independent; units are cut once and kept in
-a bounded cache per worker.
-
-A giant document (more than ``GIANT`` characters) is split into chunks of
-``CHUNK`` characters at any place, and the chunks are spread over tasks:
+Every text is split into chunks of ``chunk`` characters at any place; one that
+fits in a chunk is cut at once, and the chunks of the others are spread over
+tasks:
 
 1. each chunk yields a transfer matrix: the best score from a path that enters
    it ``a`` characters after its start to one that leaves it ``b`` characters
    after its end (``a``, ``b`` below the longest piece's length);
-2. the matrices are combined by the associative max-plus product, which gives
-   the best score of every boundary state in front of every chunk;
+2. the matrices are combined by the associative max-plus product: ``SPAN``
+   neighbours at a time by a tree, then over a text's spans, then within each
+   span, which gives the best score of every boundary state in front of every
+   chunk; no task holds more than a span's matrices or a text's products;
 3. with these scores each chunk finds, for every leaving state, the entering
-   state on the best path; composing these maps from the end fixes the states;
+   state on the best path; composing these maps from the end, likewise by spans,
+   fixes the states;
 4. each chunk is traced back on its own between its two states.
 
+Where no piece has a word mark after another character, a line feed or a letter
+beside another sign, a text falls into units whose best cuts are independent.
+Units are then cut once and kept in a bounded cache per worker, and only the
+ends of a chunk depend on its states; what lies between its first and its last
+border of units is cut in step 1.  Any other vocabulary is scanned character by
+character.
+
 Among cuts of equal score, at each place the longest last piece wins, in one
 pass and in chunks alike.
 
 Cases: a null text has null ids, an empty one none; rows are independent, so
-null and repeated ids and repeated rows each give a row; a word mark character
-in a text becomes bytes and comes back as itself; other columns are not read.
+null and repeated ids and repeated rows each give a row; an empty table gives an
+empty one; a word mark character in a text becomes bytes and comes back as
+itself; other columns are not read, and may have any names.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,26 +54,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm.common import materialize, partitions
+from wavegrid.runtime import ship
 
-GIANT, CHUNK, CACHE = 1 << 16, 1 << 14, 150_000
+#: Characters of a chunk, chunks of a span, units in a cache.
+CHUNK, SPAN, CACHE = 1 << 14, 256, 150_000
 
 _MARK = "▁"
 #: Blanks and the letters behind them, or the other characters behind them.
 _UNIT = re.compile(r" *[^\W\d_¹²³]+|\n| *(?:[^\w \n]|[\d_¹²³])+| +")
+#: Borders of units that are seen from both characters beside them.
+_BORDER = re.compile(r"(?<=[^ ]) |(?<=\n)|(?<=[^\n])\n")
 _LOW = -(1 << 60)
 
 
 class Vocabulary:
     """Pieces and whole-number scores of a model file."""
 
-    def __init__(self, pieces: list[str], scores: list[float], special: set[int]):
+    def __init__(self, pieces: list[str], scores: list[float], special: set[int], unknown: int = 0):
         raw = {i: bytes([int(p[3:5], 16)]) for i, p in enumerate(pieces) if re.fullmatch(r"<0x[0-9A-F]{2}>", p)}
         self.byte_ids = {b[0]: i for i, b in raw.items()}
-        if len(self.byte_ids) < 256:
+        if 0 < len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no piece for some byte")
+        self.unknown_id = unknown
         self.ids = {p.replace(_MARK, " "): i for i, p in enumerate(pieces) if i not in special and i not in raw}
-        self.score = {p: int(scores[i]) for p, i in self.ids.items()}
-        self.unknown = min(self.score.values()) - 10
+        self.scale = 1 if all(float(scores[i]).is_integer() for i in self.ids.values()) else 1 << 24
+        self.score = {p: round(scores[i] * self.scale) for p, i in self.ids.items()}
+        self.unknown = min(self.score.values()) - 10 * self.scale
         self.longest = max(map(len, self.ids))
         #: By first character: [the same by the next one, score of the piece that
         #: ends here or None].
@@ -73,8 +90,16 @@ class Vocabulary:
                 level = level.setdefault(c, [{}, None])[0]
             level.setdefault(piece[-1], [{}, None])[1] = score
         self.text = [raw[i] if i in raw else b"" if i in special else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
-        if not all(map(_UNIT.fullmatch, self.ids)):
-            raise ValueError("a piece extends over a unit's border")
+        #: Of a character's bytes the first has the score.
+        self.by_id = np.zeros(len(pieces), np.int64)
+        self.by_id[list(self.ids.values())] = list(self.score.values())
+        for byte, i in self.byte_ids.items():
+            self.by_id[i] = 0 if 0x80 <= byte < 0xC0 else self.unknown
+        if not self.byte_ids:
+            self.by_id[unknown] = self.unknown
+            self.text[unknown] = " \u2047 ".encode()
+        #: Whether texts fall into units.
+        self.units = all(map(_UNIT.fullmatch, self.ids))
 
     def steps(self, text: str, start: int) -> list[tuple[int, int]]:
         """(length, score) of the pieces at ``start``; a character that is none
@@ -90,7 +115,9 @@ class Vocabulary:
 
     def name(self, piece: str) -> tuple[int, ...]:
         at = self.ids.get(piece)
-        return (at,) if at is not None else tuple(self.byte_ids[b] for b in piece.encode())
+        if at is not None:
+            return (at,)
+        return tuple(self.byte_ids[b] for b in piece.encode()) if self.byte_ids else (self.unknown_id,)
 
     def walk(self, text: str, entry: dict[int, int], limit: int) -> tuple[dict[int, int], dict[int, int]]:
         """Best score of every place reached by pieces that start before
@@ -114,17 +141,8 @@ class Vocabulary:
                 best[end], back[end] = here, since
         return best, back
 
-    def cut(self, unit: str) -> tuple[int, list[str]]:
-        """Score and pieces of the best cut of one unit."""
-        best, back = self.walk(unit, {0: 0}, len(unit))
-        pieces, at = [], len(unit)
-        while at > 0:
-            pieces.append(unit[back[at] : at])
-            at = back[at]
-        return best[len(unit)], pieces[::-1]
-
     def encode_unit(self, unit: str) -> bytes:
-        """Ids of :meth:`cut`'s pieces; from each start the tree of pieces is
+        """Ids of the best cut of one unit; from each start the tree of pieces is
         followed as far as the unit goes along."""
         size, tree, unknown, ids = len(unit), self.tree, self.unknown, self.ids
         best, back = [_LOW] * (size + 1), [0] * (size + 1)
@@ -155,64 +173,62 @@ class Vocabulary:
         found.reverse()
         return struct.pack(f"<{len(found)}i", *found)
 
-    # Chunks of a giant document.  ``text`` is the chunk and what follows it, up
-    # to the longest piece's length less one; ``size`` is the chunk's length.
+    # Chunks.  ``text`` is the chunk and what follows it, up to the longest
+    # piece's length less one; ``size`` is the chunk's length.
 
-    def transfer(self, text: str, size: int) -> np.ndarray:
-        """Best score from each entering to each leaving state, ``_LOW`` if none."""
+    def borders(self, text: str, size: int) -> tuple[int, int] | None:
+        """First border of units behind all entering states, and last in the
+        chunk."""
+        if not self.units:
+            return None
+        places = [m.start() for m in _BORDER.finditer(text, 0, size) if m.start() >= self.longest]
+        return (places[0], places[-1]) if places else None
+
+    def transfer(self, head: str, head_size: int, middle: int | None = None, tail: str = "", tail_size: int = 0) -> np.ndarray:
+        """Best score from each entering to each leaving state, ``_LOW`` if none.
+        Without a ``middle`` (the score between the borders) the head is the
+        whole chunk."""
         states = self.longest
+        first = self._spread(head, head_size)
+        if middle is None:
+            return first
         out = np.full((states, states), _LOW, np.int64)
-        first, last = self._borders(text, size)
-        if first is None:
-            return self._spread(text, 0, size, out)
-        head = np.full((states, states), _LOW, np.int64)
-        self._spread(text[:first], 0, first, head)
-        middle = sum(self.cut(u)[0] for u in _UNIT.findall(text[first:last]))
-        tail, _ = self.walk(text[last:], {0: 0}, size - last)
+        ends, _ = self.walk(tail, {0: 0}, tail_size)
         for leave in range(states):
-            if (s := tail.get(size - last + leave)) is not None:
-                out[:, leave] = np.where(head[:, 0] > _LOW, head[:, 0] + middle + s, _LOW)
+            if (s := ends.get(tail_size + leave)) is not None:
+                out[:, leave] = np.where(first[:, 0] > _LOW, first[:, 0] + middle + s, _LOW)
         return out
 
-    def _borders(self, text: str, size: int) -> tuple[int | None, int | None]:
-        """First border of units behind all entering states, and last in the
-        chunk."""
-        places = [m.start() for m in re.finditer(r"(?<=[^ ]) |(?<=\n)|(?<=[^\n])\n", text[:size]) if m.start() >= self.longest]
-        return (places[0], places[-1]) if places else (None, None)
-
-    def _spread(self, text: str, start: int, size: int, out: np.ndarray) -> np.ndarray:
+    def _spread(self, text: str, size: int) -> np.ndarray:
         states = self.longest
         ahead = np.full((states, size + states), _LOW, np.int64)
-        for a in range(min(states, size + states)):
+        for a in range(states):
             ahead[a, a] = 0
-        for p in range(start, size):
+        for p in range(size):
             row = ahead[:, p]
             open_ = row > _LOW
             if not open_.any():
                 continue
             for n, s in self.steps(text, p):
                 ahead[:, p + n] = np.where(open_, np.maximum(ahead[:, p + n], row + s), ahead[:, p + n])
-        out[:] = ahead[:, size : size + states]
-        return out
+        return ahead[:, size : size + states].copy()
 
     def _entered(self, entry: np.ndarray) -> dict[int, int]:
         return {a: int(v) for a, v in enumerate(entry) if v > _LOW}
 
-    def entering(self, text: str, size: int, entry: np.ndarray) -> np.ndarray:
+    def entering(self, entry: np.ndarray, head: str, head_size: int, tail: str | None, tail_size: int) -> np.ndarray:
         """For each leaving state, the entering state on its best path, or -1."""
         out = np.full(self.longest, -1, np.int16)
-        first, last = self._borders(text, size)
-        if first is None:
-            _, back = self.walk(text, self._entered(entry), size)
-            for leave in range(self.longest):
-                out[leave] = self._root(back, size + leave)
-        else:
-            _, back = self.walk(text[:first], self._entered(entry), first)
-            tail, _ = self.walk(text[last:], {0: 0}, size - last)
-            root = self._root(back, first)
+        _, back = self.walk(head, self._entered(entry), head_size)
+        if tail is None:
             for leave in range(self.longest):
-                if size - last + leave in tail:
-                    out[leave] = root
+                out[leave] = self._root(back, head_size + leave)
+            return out
+        ends, _ = self.walk(tail, {0: 0}, tail_size)
+        root = self._root(back, head_size)
+        for leave in range(self.longest):
+            if tail_size + leave in ends:
+                out[leave] = root
         return out
 
     @staticmethod
@@ -223,26 +239,20 @@ class Vocabulary:
             at = back[at]
         return at
 
-    def trace(self, text: str, size: int, entry: np.ndarray, leave: int) -> np.ndarray:
-        """Ids of the pieces that start in the chunk, on the path that leaves it
-        in state ``leave``."""
-        first, last = self._borders(text, size)
-        if first is None:
-            names = self._pieces(text, self._entered(entry), size, size + leave)
-        else:
-            names = self._pieces(text[:first], self._entered(entry), first, first)
-            for unit in _UNIT.findall(text[first:last]):
-                names += self.cut(unit)[1]
-            names += self._pieces(text[last:], {0: 0}, size - last, size - last + leave)
-        return np.array([i for p in names for i in self.name(p)], np.int32)
-
-    def _pieces(self, text: str, entry: dict[int, int], limit: int, at: int) -> list[str]:
+    def trace(self, entry: np.ndarray, leave: int, head: str, head_size: int, tail: str | None, tail_size: int) -> tuple[list[int], list[int]]:
+        """Ids of the pieces that start in the head and in the tail, on the path
+        that leaves the chunk in state ``leave``."""
+        if tail is None:
+            return self._ids(head, self._entered(entry), head_size, head_size + leave), []
+        return self._ids(head, self._entered(entry), head_size, head_size), self._ids(tail, {0: 0}, tail_size, tail_size + leave)
+
+    def _ids(self, text: str, entry: dict[int, int], limit: int, at: int) -> list[int]:
         _, back = self.walk(text, entry, limit)
-        names = []
+        names: list[str] = []
         while back[at] >= 0:
             names.append(text[back[at] : at])
             at = back[at]
-        return names[::-1]
+        return [i for p in reversed(names) for i in self.name(p)]
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,13 +261,28 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(out < _LOW // 2, _LOW, out)
 
 
-def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """All prefix products, by doubling: prefix k is ready after log2(k) rounds."""
-    done, step = list(matrices), 1
-    while step < len(done):
-        done = [m if k < step else combine(done[k - step], m) for k, m in enumerate(done)]
-        step *= 2
-    return done
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Product of all, by a tree of pairs."""
+    while len(matrices) > 1:
+        pairs = [combine(a, b) for a, b in zip(matrices[::2], matrices[1::2])]
+        matrices = pairs + matrices[len(pairs) * 2 :]
+    return matrices[0]
+
+
+def prefixes(start: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """The state scores in front of each matrix, from those in front of all."""
+    out = []
+    for m in matrices:
+        out.append(start)
+        start = combine(start[None, :], m)[0]
+    return out
+
+
+def merge_unknown(ids: np.ndarray, unknown: int) -> np.ndarray:
+    """``ids`` with one unknown piece for each run of them."""
+    again = np.zeros(len(ids), bool)
+    again[1:] = (ids[1:] == unknown) & (ids[:-1] == unknown)
+    return ids[~again]
 
 
 class Cache(dict):
@@ -277,8 +302,18 @@ class Cache(dict):
             self[unit] = ids
         return ids
 
+    def middle(self, text: str) -> bytes:
+        """Ids of a text that is made of whole units (or of any, where texts do
+        not fall into units), without regard to runs of unknown characters."""
+        return b"".join(map(self.__getitem__, _UNIT.findall(text))) if self.vocabulary.units else self.vocabulary.encode_unit(text)
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _UNIT.findall(" " + text))) if text else b""
+        if not text:
+            return b""
+        ids = self.middle(" " + text)
+        if self.vocabulary.byte_ids:
+            return ids
+        return merge_unknown(np.frombuffer(ids, np.int32), self.vocabulary.unknown_id).tobytes()
 
 
 _caches: dict[str, Cache] = {}
@@ -291,7 +326,7 @@ def cache_of(model_path: str) -> Cache:
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         size = range(model.get_piece_size())
-        _caches[model_path] = Cache(Vocabulary([model.id_to_piece(i) for i in size], [model.get_score(i) for i in size], {i for i in size if model.is_unknown(i) or model.is_control(i) or model.is_unused(i)}))
+        _caches[model_path] = Cache(Vocabulary([model.id_to_piece(i) for i in size], [model.get_score(i) for i in size], {i for i in size if model.is_unknown(i) or model.is_control(i) or model.is_unused(i)}, model.unk_id()))
     return _caches[model_path]
 
 
@@ -328,62 +363,142 @@ def _split(chunk: int, longest: int):
     return run
 
 
-def _per_chunk(model_path: str, what, name: str, kind: pa.DataType):
+_PREPARED = "row bigint, k int, head string, head_size int, tail string, tail_size int, middle array<int>, matrix binary"
+
+
+def _prepare(model_path: str):
+    """Step 1: a chunk's ends, the ids between its borders, its matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = cache_of(model_path)
+        vocabulary = cache.vocabulary
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, rows = batch.slice(at, 64), []
+                for r in part.to_pylist():
+                    text, size = r["chunk"], r["size"]
+                    if between := vocabulary.borders(text, size):
+                        first, last = between
+                        middle = cache.middle(text[first:last])
+                        inner = int(vocabulary.by_id[np.frombuffer(middle, np.int32)].sum())
+                        rows.append((text[:first], first, text[last:], size - last, middle, vocabulary.transfer(text[:first], first, inner, text[last:], size - last)))
+                    else:
+                        rows.append((text, size, None, 0, b"", vocabulary.transfer(text, size)))
+                head, head_size, tail, tail_size, middle, matrix = zip(*rows)
+                arrays = [part.column("row"), part.column("k"), pa.array(head, pa.string()), pa.array(head_size, pa.int32()), pa.array(tail, pa.string()), pa.array(tail_size, pa.int32()), _lists(list(middle)), pa.array([m.tobytes() for m in matrix], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "k", "head", "head_size", "tail", "tail_size", "middle", "matrix"])
+
+    return run
+
+
+def _per_chunk(model_path: str, what: Callable, names: list[str], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = cache_of(model_path).vocabulary
         for batch in batches:
-            made = [what(vocabulary, row) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(made, kind)], names=["row", "k", name])
+            made = [what(vocabulary, r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), *(pa.array([m[i] for m in made], kind) for i in range(len(names)))], names=["row", "k", *names])
 
     return run
 
 
-def _prefixes(group: pd.DataFrame) -> pd.DataFrame:
+def _ends(r: dict) -> tuple:
+    return r["head"], r["head_size"], r["tail"], r["tail_size"]
+
+
+def _map(v: Vocabulary, r: dict) -> tuple[bytes]:
+    return (v.entering(np.frombuffer(r["entry"], np.int64), *_ends(r)).tobytes(),)
+
+
+def _trace(v: Vocabulary, r: dict) -> tuple[list[int], list[int]]:
+    return v.trace(np.frombuffer(r["entry"], np.int64), r["leave"], *_ends(r))
+
+
+def _square(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(raw, np.int64)
+    return flat.reshape(int(round(len(flat) ** 0.5)), -1)
+
+
+def _span_products(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("k")
-    side = int(len(group["matrix"].iloc[0]) // 8) ** 0.5
-    products = scan([np.frombuffer(m, np.int64).reshape(int(side), -1) for m in group["matrix"]])
-    start = np.full(int(side), _LOW, np.int64)
+    return pd.DataFrame({"row": group["row"].iloc[:1], "span": group["span"].iloc[:1], "matrix": [product([_square(m) for m in group["matrix"]]).tobytes()]})
+
+
+def _span_entries(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("span")
+    matrices = [_square(m) for m in group["matrix"]]
+    start = np.full(len(matrices[0]), _LOW, np.int64)
     start[0] = 0
-    entries = [start, *(p[0] for p in products[:-1])]
-    return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": [e.astype(np.int64).tobytes() for e in entries]})
+    return pd.DataFrame({"row": group["row"], "span": group["span"], "start": [e.tobytes() for e in prefixes(start, matrices)]})
+
+
+def _entries(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("k")
+    start = np.frombuffer(group["start"].iloc[0], np.int64)
+    return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": [e.tobytes() for e in prefixes(start, [_square(m) for m in group["matrix"]])]})
+
+
+def _composed(maps: list[bytes]) -> np.ndarray:
+    """Entering state of the first for each leaving state of the last."""
+    states = np.arange(len(maps[0]) // 2)
+    for m in reversed(maps):
+        states = np.where(states >= 0, np.frombuffer(m, np.int16)[states], -1)
+    return states.astype(np.int16)
+
+
+def _span_maps(group: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"row": group["row"].iloc[:1], "span": group["span"].iloc[:1], "map": [_composed(list(group.sort_values("k")["map"])).tobytes()]})
 
 
-def _states(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("k", ascending=False)
-    state, leaves = 0, []
+def _leaves(group: pd.DataFrame, name: str, state: int) -> pd.DataFrame:
+    """State in which each is left, if the last one is left in ``state``."""
+    group, leaves = group.sort_values(name, ascending=False), []
     for m in group["map"]:
         leaves.append(state)
         state = int(np.frombuffer(m, np.int16)[state])
-    return pd.DataFrame({"row": group["row"], "k": group["k"], "leave": leaves})
-
-
-def _encode_giants(giants: DataFrame, model_path: str, chunk: int) -> DataFrame | None:
-    """doc_id, text and ids of giant documents; None if there are none."""
-    n = partitions(giants.sparkSession)
-    giants = materialize(giants.withColumn("row", F.monotonically_increasing_id()), "giants")
-    if giants.isEmpty():
-        return None
-    longest = cache_of(model_path).vocabulary.longest
-    chunks = giants.select("row", "text").mapInArrow(_split(chunk, longest), "row bigint, k int, chunk string, size int")
-    chunks = materialize(chunks.repartition(n, "row", "k"), "chunks")
-    matrices = chunks.mapInArrow(_per_chunk(model_path, lambda v, r: v.transfer(r["chunk"], r["size"]).tobytes(), "matrix", pa.binary()), "row bigint, k int, matrix binary")
-    entries = matrices.groupBy("row").applyInPandas(_prefixes, "row bigint, k int, entry binary")
-    entered = materialize(chunks.join(entries, ["row", "k"]), "entered")
-    maps = entered.mapInArrow(_per_chunk(model_path, lambda v, r: v.entering(r["chunk"], r["size"], np.frombuffer(r["entry"], np.int64)).tobytes(), "map", pa.binary()), "row bigint, k int, map binary")
-    leaves = maps.groupBy("row").applyInPandas(_states, "row bigint, k int, leave int")
-    traced = entered.join(leaves, ["row", "k"]).mapInArrow(_per_chunk(model_path, lambda v, r: v.trace(r["chunk"], r["size"], np.frombuffer(r["entry"], np.int64), r["leave"]), "ids", pa.list_(pa.int32())), "row bigint, k int, ids array<int>")
-    whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return giants.join(whole, "row").select("doc_id", "text", "ids")
-
-
-def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text and ids (array of int) per row."""
+    return pd.DataFrame({"row": group["row"], name: group[name], "leave": leaves})
+
+
+def _scan(rows: DataFrame, model_path: str, chunk: int) -> DataFrame:
+    """doc_id, text and ids of texts of several chunks."""
+    n = partitions(rows.sparkSession)
+    vocabulary = cache_of(model_path).vocabulary
+    texts = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    chunks = texts.select("row", "text").mapInArrow(_split(chunk, vocabulary.longest), "row bigint, k int, chunk string, size int")
+    chunks = materialize(chunks.repartition(n, "row", "k").mapInArrow(_prepare(model_path), _PREPARED), "chunks")
+    span = F.floor(F.col("k") / SPAN).cast("int").alias("span")
+
+    matrices = chunks.select("row", "k", span, "matrix")
+    spans = matrices.groupBy("row", "span").applyInPandas(_span_products, "row bigint, span int, matrix binary")
+    starts = materialize(spans.groupBy("row").applyInPandas(_span_entries, "row bigint, span int, start binary"), "span-starts")
+    entries = materialize(matrices.join(starts, ["row", "span"]).groupBy("row", "span").applyInPandas(_entries, "row bigint, k int, entry binary"), "entries")
+
+    # Dealt out by number, as adaptive execution would put small rows into one task.
+    ends = chunks.select("row", "k", "head", "head_size", "tail", "tail_size").join(entries, ["row", "k"]).repartition(n, "row", "k")
+    maps = materialize(ends.mapInArrow(_per_chunk(model_path, _map, ["map"], pa.binary()), "row bigint, k int, map binary"), "maps").select("row", "k", span, "map")
+    spans = maps.groupBy("row", "span").applyInPandas(_span_maps, "row bigint, span int, map binary")
+    last = materialize(spans.groupBy("row").applyInPandas(lambda g: _leaves(g, "span", 0), "row bigint, span int, leave int"), "span-states")
+    within = maps.join(last, ["row", "span"]).groupBy("row", "span")
+    leaves = within.applyInPandas(lambda g: _leaves(g, "k", int(g["leave"].iloc[0])), "row bigint, k int, leave int")
+
+    ends = chunks.select("row", "k", "head", "head_size", "tail", "tail_size").join(entries, ["row", "k"]).join(leaves, ["row", "k"]).repartition(n, "row", "k")
+    traced = ends.mapInArrow(_per_chunk(model_path, _trace, ["head", "tail"], pa.list_(pa.int32())), "row bigint, k int, head array<int>, tail array<int>")
+    pieces = traced.select("row", "k", F.inline(F.array(F.struct(F.lit(0).alias("part"), F.col("head").alias("ids")), F.struct(F.lit(2).alias("part"), F.col("tail").alias("ids")))))
+    pieces = pieces.unionByName(chunks.select("row", "k", F.lit(1).alias("part"), F.col("middle").alias("ids")))
+    whole = pieces.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part", "ids"))), lambda x: x["ids"])).alias("ids"))
+    if not vocabulary.byte_ids:
+        unknown = F.lit(vocabulary.unknown_id)
+        whole = whole.withColumn("ids", F.filter("ids", lambda x, i: (x != unknown) | (i == 0) | (F.get("ids", i - 1) != unknown)))
+    return texts.join(whole, "row").select("doc_id", "text", "ids")
+
+
+def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """doc_id, text and ids (array of int) per row; texts of more than ``chunk``
+    characters, with the blank in front, are scanned in chunks of so many."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    large = F.coalesce(F.length("text") > giant, F.lit(False))
-    out = rows.where(~large).mapInArrow(_encode(model_path), schema)
-    giants = _encode_giants(rows.where(large), model_path, chunk)
-    return out if giants is None else out.unionByName(giants)
+    several = F.coalesce(F.length("text") >= chunk, F.lit(False))
+    return rows.where(~several).mapInArrow(_encode(model_path), schema).unionByName(_scan(rows.where(several), model_path, chunk))
 
 
 def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
