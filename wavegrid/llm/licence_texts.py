@@ -1,81 +1,28 @@
-"""Known licences: whole texts and one-line notices, as published."""
+"""Known licences: the published texts in ``licences/``, whole and as they are,
+and one-line notices."""
 
-_MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so{condition}
+from __future__ import annotations
 
-{notice}THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
-"""
-_MIT = _MIT_BODY.format(condition=", subject to the following conditions:", notice="The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n")
-_MIT_0 = _MIT_BODY.format(condition=".", notice="")
+from pathlib import Path
 
-_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{condition}\n\n"
-_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
-"""
-_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+_FOLDER = Path(__file__).parent / "licences"
 
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+# SPDX identifiers, title lines and notices as published.
 
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+#: Titles that may stand in front of a text that is published without one.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense"],
+}
 
-{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
-"""
-_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
-
-_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-
-3. This notice may not be removed or altered from any source distribution.
-"""
-_UNLICENSE = """This is free and unencumbered software released into the public domain.
-
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
-
-In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
-
-For more information, please refer to <https://unlicense.org/>
-"""
-_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
-
-Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
-
-The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
-"""
-_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
-"""
-
-#: Whole texts; a title line may stand in front.
-LICENCES = [
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
-    ("MIT-0", _MIT_0),
-    ("MIT-0", "MIT No Attribution\n\n" + _MIT_0),
-    ("ISC", _ISC_GRANT.format(condition=", provided that the above copyright notice and this permission notice appear in all copies.") + _ISC_END),
-    ("ISC", "ISC License\n\n" + _ISC_GRANT.format(condition=", provided that the above copyright notice and this permission notice appear in all copies.") + _ISC_END),
-    ("0BSD", _ISC_GRANT.format(condition=".") + _ISC_END),
-    ("0BSD", "BSD Zero Clause License\n\n" + _ISC_GRANT.format(condition=".") + _ISC_END),
-    ("BSD-2-Clause", _BSD.format(third="")),
-    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD.format(third="")),
-    ("BSD-3-Clause", _BSD.format(third=_BSD_THIRD)),
-    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD.format(third=_BSD_THIRD)),
-    ("Zlib", _ZLIB),
-    ("Zlib", "zlib License\n\n" + _ZLIB),
-    ("Unlicense", _UNLICENSE),
-    ("BSL-1.0", _BOOST),
-    ("Apache-2.0", _APACHE_HEADER),
-]
+#: Last line of the terms; what follows tells how to apply them and may be left out.
+END = "END OF TERMS AND CONDITIONS"
 
 #: One-line notices.
 NOTICES = [
@@ -96,3 +43,20 @@ NOTICES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
 ]
+
+
+def _licences() -> list[tuple[str, str]]:
+    """(identifier, text) of every form of every text, by file name."""
+    found = []
+    for file in sorted(_FOLDER.glob("*.txt")):
+        name, text = file.stem.removesuffix("-header"), file.read_text(encoding="utf8")
+        found.append((name, text))
+        found += [(name, f"{title}\n\n{text}") for title in TITLES.get(name, [])]
+        if END in text:
+            terms = text[: text.index(END)]
+            found += [(name, terms), (name, terms + END)]
+    return found
+
+
+#: Whole texts.
+LICENCES = _licences()

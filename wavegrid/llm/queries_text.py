@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,28 +173,46 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license_id", F.size("notices").cast("long").alias("n_notices"), F.array_join("notices", ",").alias("notice_ids"))
 
 
+def _word_form(text: str) -> str:
+    """The canonical form once more, word by word, for the oracle alone."""
+    import regex
+
+    mark = regex.compile(r"[^\p{L}\p{N}(©]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]*(copyright|[0-9])|©|all rights reserved)")
+    lines = [x for x in regex.split("[\r\n]+", text.lower()) if not mark.match(x)]
+    one = {old: new for old, new in licence_scan.EQUIVALENT if " " not in old}
+    form = " ".join(one.get(w, w) for x in lines for w in regex.findall(r"[\p{L}\p{N}]+", x))
+    for old, new in licence_scan.EQUIVALENT:
+        if " " in old:
+            form = regex.sub(rf"\b{old}\b", new, form)
+    return form
+
+
 def _licence_oracle() -> str:
+    one = " ".join(f"when '{old}' then '{new}'" for old, new in licence_scan.EQUIVALENT if " " not in old)
+
     def form(x: str) -> str:
-        out = f"' ' || regexp_replace(regexp_replace(translate(lower({x}), chr(13), chr(10)), '{licence_scan.COPYRIGHT}', ' ', 'g'), '{licence_scan.BETWEEN}', ' ', 'g') || ' '"
+        lines = f"list_filter(regexp_split_to_array(lower({x}), '[\\r\\n]+'), lambda y: not regexp_matches(y, '^[^\\p{{L}}\\p{{N}}(©]*(copyright[ \\t]*(\\(c\\)|©|[0-9<\\[{{])|\\(c\\)[ \\t]*(copyright|[0-9])|©|all rights reserved)'))"
+        words = f"list_filter(regexp_split_to_array(array_to_string({lines}, ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+        out = f"array_to_string(list_transform({words}, lambda w: case w {one} else w end), ' ')"
         for old, new in licence_scan.EQUIVALENT:
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-        return f"sha256(trim({out}, ' '))"
+            if " " in old:
+                out = f"regexp_replace({out}, '\\b{old}\\b', '{new}', 'g')"
+        return f"sha256({out})"
 
     def values(known) -> str:
-        return ", ".join(f"('{d}', '{n}')" for d, n in licence_scan.digests(known).items())
+        return ", ".join(sorted({f"('{hashlib.sha256(_word_form(text).encode()).hexdigest()}', '{name}')" for name, text in known}))
 
     return f"""
 with licences(digest, id) as (values {values(LICENCES)}), notices(digest, id) as (values {values(NOTICES)}),
-d as (select doc_id, text, regexp_matches(text, '{licence_scan.CUE}') as cued from documents),
-w as (select doc_id, {form("text")} as digest from d where cued),
+w as (select doc_id, {form("text")} as digest from documents where text is not null),
 l as (
   select doc_id, {form("line")} as digest
-  from (select doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) as line from d where cued) where regexp_matches(line, '{licence_scan.CUE}')
+  from (select doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]+')) as line from documents)
 ), n as (
   select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from l join notices using (digest) group by doc_id
 )
 select d.doc_id, licences.id as license_id, coalesce(n.n, 0)::bigint as n_notices, coalesce(n.ids, '') as notice_ids
-from d left join w using (doc_id) left join licences using (digest) left join n on n.doc_id = d.doc_id
+from documents d left join w using (doc_id) left join licences using (digest) left join n on n.doc_id = d.doc_id
 """
 
 
