@@ -3,8 +3,13 @@
 Union-find inside each partition shrinks the links to stars; alternating large
 and small stars then lower every node's label to the least node of its
 component.  Hubs are never collected: a label is a minimum that is summed up
-before the shuffle, and the joins can be split by adaptive execution.  Each
-round is written to the shared folder.
+before the shuffle and stored, so that the join with it stands alone in its stage,
+where adaptive execution can split a hub.  Each round is written to the shared
+folder.
+
+Cases: links may be repeated, in either direction, and may join a node with
+itself (such a link is dropped); nodes are not null; without links there is no
+row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -76,10 +81,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "large-stars")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
