@@ -24,6 +24,8 @@ tasks:
    fixes the states;
 4. each chunk is traced back on its own between its two states.
 
+Spans are spread over tasks in steps 2 to 4, and each is read as a stream.
+
 Where no piece has a word mark after another character, a line feed or a letter
 beside another sign, a text falls into units whose best cuts are independent.
 Units are then cut once and kept in a bounded cache per worker, and only the
@@ -42,12 +44,12 @@ itself; other columns are not read, and may have any names.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ from wavegrid.llm.common import materialize, partitions
 from wavegrid.runtime import ship
 
 #: Characters of a chunk, chunks of a span, units in a cache.
-CHUNK, SPAN, CACHE = 1 << 14, 256, 150_000
+CHUNK, SPAN, CACHE = 1 << 14, 64, 150_000
 
 _MARK = "▁"
 #: Blanks and the letters behind them, or the other characters behind them.
@@ -269,13 +271,9 @@ def product(matrices: list[np.ndarray]) -> np.ndarray:
     return matrices[0]
 
 
-def prefixes(start: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """The state scores in front of each matrix, from those in front of all."""
-    out = []
-    for m in matrices:
-        out.append(start)
-        start = combine(start[None, :], m)[0]
-    return out
+def after(scores: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The state scores behind a matrix, from those in front of it."""
+    return combine(scores[None, :], m)[0]
 
 
 def merge_unknown(ids: np.ndarray, unknown: int) -> np.ndarray:
@@ -391,71 +389,107 @@ def _prepare(model_path: str):
     return run
 
 
-def _per_chunk(model_path: str, what: Callable, names: list[str], kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = cache_of(model_path).vocabulary
-        for batch in batches:
-            made = [what(vocabulary, r) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), *(pa.array([m[i] for m in made], kind) for i in range(len(names)))], names=["row", "k", *names])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    return (r for batch in batches for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist())
 
-    return run
+
+def _batches(made: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Tuples as batches of some rows."""
+    while rows := list(itertools.islice(made, 256)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _ends(r: dict) -> tuple:
     return r["head"], r["head_size"], r["tail"], r["tail_size"]
 
 
-def _map(v: Vocabulary, r: dict) -> tuple[bytes]:
-    return (v.entering(np.frombuffer(r["entry"], np.int64), *_ends(r)).tobytes(),)
+def _square(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(raw, np.int64)
+    return flat.reshape(int(round(len(flat) ** 0.5)), -1)
 
 
-def _trace(v: Vocabulary, r: dict) -> tuple[list[int], list[int]]:
-    return v.trace(np.frombuffer(r["entry"], np.int64), r["leave"], *_ends(r))
+# The functions below read rows sorted by text and place, and hold a span at most.
 
+_PRODUCT = pa.schema([("row", pa.int64()), ("span", pa.int32()), ("matrix", pa.binary())])
+_START = pa.schema([("row", pa.int64()), ("span", pa.int32()), ("start", pa.binary())])
+_STATE = pa.schema([("row", pa.int64()), ("span", pa.int32()), ("leave", pa.int32())])
+_ENTERED = pa.schema([("row", pa.int64()), ("span", pa.int32()), ("k", pa.int32()), ("head", pa.string()), ("head_size", pa.int32()), ("tail", pa.string()), ("tail_size", pa.int32()), ("entry", pa.binary()), ("map", pa.binary())])
+_TRACED = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("part", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
-def _square(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(raw, np.int64)
-    return flat.reshape(int(round(len(flat) ** 0.5)), -1)
 
+def _span_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = itertools.groupby(_rows(batches), lambda r: (r["row"], r["span"]))
+    return _batches(((*key, product([_square(r["matrix"]) for r in group]).tobytes()) for key, group in groups), _PRODUCT)
+
+
+def _span_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made():
+        for row, group in itertools.groupby(_rows(batches), lambda r: r["row"]):
+            start = None
+            for r in group:
+                m = _square(r["matrix"])
+                if start is None:
+                    start = np.full(len(m), _LOW, np.int64)
+                    start[0] = 0
+                yield row, r["span"], start.tobytes()
+                start = after(start, m)
+
+    return _batches(made(), _START)
 
-def _span_products(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("k")
-    return pd.DataFrame({"row": group["row"].iloc[:1], "span": group["span"].iloc[:1], "matrix": [product([_square(m) for m in group["matrix"]]).tobytes()]})
 
+def _enter(model_path: str):
+    """The state scores in front of each chunk of a span, its map of states, and
+    behind a span's chunks the map of the whole span (without a ``k``)."""
 
-def _span_entries(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("span")
-    matrices = [_square(m) for m in group["matrix"]]
-    start = np.full(len(matrices[0]), _LOW, np.int64)
-    start[0] = 0
-    return pd.DataFrame({"row": group["row"], "span": group["span"], "start": [e.tobytes() for e in prefixes(start, matrices)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = cache_of(model_path).vocabulary
+
+        def made():
+            for key, group in itertools.groupby(_rows(batches), lambda r: (r["row"], r["span"])):
+                scores = np.frombuffer(next(group)["start"], np.int64)
+                whole = np.arange(len(scores), dtype=np.int16)
+                for r in group:
+                    states = vocabulary.entering(scores, *_ends(r))
+                    yield *key, r["k"], *_ends(r), scores.tobytes(), states.tobytes()
+                    whole = np.where(states >= 0, whole[states], -1).astype(np.int16)
+                    scores = after(scores, _square(r["matrix"]))
+                yield *key, None, None, None, None, None, None, whole.tobytes()
+
+        return _batches(made(), _ENTERED)
+
+    return run
 
 
-def _entries(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("k")
-    start = np.frombuffer(group["start"].iloc[0], np.int64)
-    return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": [e.tobytes() for e in prefixes(start, [_square(m) for m in group["matrix"]])]})
+def _span_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """State in which each span is left; the last one comes first and is left in 0."""
 
+    def made():
+        for row, group in itertools.groupby(_rows(batches), lambda r: r["row"]):
+            state = 0
+            for r in group:
+                yield row, r["span"], state
+                state = int(np.frombuffer(r["map"], np.int16)[state])
 
-def _composed(maps: list[bytes]) -> np.ndarray:
-    """Entering state of the first for each leaving state of the last."""
-    states = np.arange(len(maps[0]) // 2)
-    for m in reversed(maps):
-        states = np.where(states >= 0, np.frombuffer(m, np.int16)[states], -1)
-    return states.astype(np.int16)
+    return _batches(made(), _STATE)
 
 
-def _span_maps(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"row": group["row"].iloc[:1], "span": group["span"].iloc[:1], "map": [_composed(list(group.sort_values("k")["map"])).tobytes()]})
+def _trace(model_path: str):
+    """Ids of the ends of each chunk; the last chunk of a span comes first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = cache_of(model_path).vocabulary
 
-def _leaves(group: pd.DataFrame, name: str, state: int) -> pd.DataFrame:
-    """State in which each is left, if the last one is left in ``state``."""
-    group, leaves = group.sort_values(name, ascending=False), []
-    for m in group["map"]:
-        leaves.append(state)
-        state = int(np.frombuffer(m, np.int16)[state])
-    return pd.DataFrame({"row": group["row"], name: group[name], "leave": leaves})
+        def made():
+            for (row, _), group in itertools.groupby(_rows(batches), lambda r: (r["row"], r["span"])):
+                state = next(group)["leave"]
+                for r in group:
+                    for part, ids in zip((0, 2), vocabulary.trace(np.frombuffer(r["entry"], np.int64), state, *_ends(r))):
+                        yield row, r["k"], part, ids
+                    state = int(np.frombuffer(r["map"], np.int16)[state])
+
+        return _batches(made(), _TRACED)
+
+    return run
 
 
 def _scan(rows: DataFrame, model_path: str, chunk: int) -> DataFrame:
@@ -465,25 +499,25 @@ def _scan(rows: DataFrame, model_path: str, chunk: int) -> DataFrame:
     texts = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "long-texts")
     chunks = texts.select("row", "text").mapInArrow(_split(chunk, vocabulary.longest), "row bigint, k int, chunk string, size int")
     chunks = materialize(chunks.repartition(n, "row", "k").mapInArrow(_prepare(model_path), _PREPARED), "chunks")
-    span = F.floor(F.col("k") / SPAN).cast("int").alias("span")
-
-    matrices = chunks.select("row", "k", span, "matrix")
-    spans = matrices.groupBy("row", "span").applyInPandas(_span_products, "row bigint, span int, matrix binary")
-    starts = materialize(spans.groupBy("row").applyInPandas(_span_entries, "row bigint, span int, start binary"), "span-starts")
-    entries = materialize(matrices.join(starts, ["row", "span"]).groupBy("row", "span").applyInPandas(_entries, "row bigint, k int, entry binary"), "entries")
-
-    # Dealt out by number, as adaptive execution would put small rows into one task.
-    ends = chunks.select("row", "k", "head", "head_size", "tail", "tail_size").join(entries, ["row", "k"]).repartition(n, "row", "k")
-    maps = materialize(ends.mapInArrow(_per_chunk(model_path, _map, ["map"], pa.binary()), "row bigint, k int, map binary"), "maps").select("row", "k", span, "map")
-    spans = maps.groupBy("row", "span").applyInPandas(_span_maps, "row bigint, span int, map binary")
-    last = materialize(spans.groupBy("row").applyInPandas(lambda g: _leaves(g, "span", 0), "row bigint, span int, leave int"), "span-states")
-    within = maps.join(last, ["row", "span"]).groupBy("row", "span")
-    leaves = within.applyInPandas(lambda g: _leaves(g, "k", int(g["leave"].iloc[0])), "row bigint, k int, leave int")
-
-    ends = chunks.select("row", "k", "head", "head_size", "tail", "tail_size").join(entries, ["row", "k"]).join(leaves, ["row", "k"]).repartition(n, "row", "k")
-    traced = ends.mapInArrow(_per_chunk(model_path, _trace, ["head", "tail"], pa.list_(pa.int32())), "row bigint, k int, head array<int>, tail array<int>")
-    pieces = traced.select("row", "k", F.inline(F.array(F.struct(F.lit(0).alias("part"), F.col("head").alias("ids")), F.struct(F.lit(2).alias("part"), F.col("tail").alias("ids")))))
-    pieces = pieces.unionByName(chunks.select("row", "k", F.lit(1).alias("part"), F.col("middle").alias("ids")))
+    placed = chunks.withColumn("span", F.floor(F.col("k") / SPAN).cast("int"))
+
+    def dealt(df: DataFrame, by: list, order: list) -> DataFrame:
+        """Dealt out by number, as adaptive execution would put small rows into one
+        task."""
+        return df.repartition(n, *by).sortWithinPartitions(*by, *order)
+
+    spans = dealt(placed.select("row", "span", "k", "matrix"), ["row", "span"], ["k"]).mapInArrow(_span_products, "row bigint, span int, matrix binary")
+    starts = dealt(spans, ["row"], ["span"]).mapInArrow(_span_starts, "row bigint, span int, start binary")
+    first = starts.withColumn("kind", F.lit(0)).unionByName(placed.drop("middle").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    entered = dealt(first, ["row", "span"], ["kind", "k"]).mapInArrow(_enter(model_path), "row bigint, span int, k int, head string, head_size int, tail string, tail_size int, entry binary, map binary")
+    entered = materialize(entered, "entered")
+
+    maps = entered.where("k is null").select("row", "span", "map")
+    states = dealt(maps, ["row"], [F.col("span").desc()]).mapInArrow(_span_states, "row bigint, span int, leave int")
+    last = states.withColumn("kind", F.lit(0)).unionByName(entered.where("k is not null").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    traced = dealt(last, ["row", "span"], ["kind", F.col("k").desc()]).mapInArrow(_trace(model_path), "row bigint, k int, part int, ids array<int>")
+
+    pieces = traced.unionByName(chunks.select("row", "k", F.lit(1).alias("part"), F.col("middle").alias("ids")))
     whole = pieces.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part", "ids"))), lambda x: x["ids"])).alias("ids"))
     if not vocabulary.byte_ids:
         unknown = F.lit(vocabulary.unknown_id)
