@@ -1,14 +1,17 @@
 import io
 import struct
+import sys
+import types
 import wave
 
 import numpy as np
 import pytest
 
+from wavegrid import params
 from wavegrid.operators import post
 from wavegrid.plans import api
 from wavegrid.plans.catalog import tone
-from wavegrid.scorers import ConstantScorer, LinearScorer
+from wavegrid.scorers import ConstantScorer, LinearScorer, TFLiteScorer
 from wavegrid.sources import audio
 
 DUMMY = ConstantScorer(["species1", "species2", "species3", "species0"], scores=[0.1, 0.3, 0.2, 0.1])
@@ -117,6 +120,47 @@ def test_many_files(spark, tmp_path):
     assert post.long_form(good).count() == 24
 
 
+def test_one_thread_over_many_files(spark):
+    scorer = TFLiteScorer(["a"], load=None, tflite_num_threads=2)
+    with pytest.raises(ValueError, match="tflite_num_threads"):
+        api.predict_species_within_audio_files(spark, [], scorer=scorer)
+    params.check_single_thread(TFLiteScorer(["a"]))
+    params.check_single_thread(DUMMY)
+
+
+def test_without_a_scorer_the_staged_classifier_is_asked_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("WAVEGRID_HOME", str(tmp_path))
+    (tmp_path / "x.wav").write_bytes(tone(3, 48_000))
+    for call in (lambda: api.predict_species_within_audio_file(spark, tmp_path / "x.wav"), lambda: api.predict_species_within_audio_files(spark, []), lambda: api.predict_species_at_location_and_time(spark, 1, 2)):
+        with pytest.raises(ValueError, match="lacks the labels"):
+            call()
+
+
+def test_other_formats_go_through_soundfile(monkeypatch):
+    """What is no WAV file is read by the soundfile package, by ranges of frames."""
+
+    class SoundFile:
+        channels, samplerate = 1, 8000
+
+        def __init__(self, file):
+            assert file.read(4) == b"fLaC"
+            self.at = 0
+
+        def __len__(self):
+            return 20_000
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n, dtype, always_2d):
+            return np.arange(self.at, self.at + n, dtype=dtype)[:, None]
+
+    monkeypatch.setitem(sys.modules, "soundfile", types.SimpleNamespace(SoundFile=SoundFile))
+    got = list(audio.read_chunks(b"fLaC and more", 1.0, 0.0, 8000))
+    assert [(a, b) for a, b, _ in got] == [(0, 1), (1, 2), (2, 2.5)]
+    assert got[1][2][0] == 8000 and len(got[2][2]) == 4000
+
+
 BAD = [
     {"min_confidence": -0.1},
     {"min_confidence": 1},
@@ -154,16 +198,3 @@ def test_bad_run_settings(spark, tmp_path):
 
 def test_no_files(spark):
     assert api.predict_species_within_audio_files(spark, [], scorer=DUMMY).count() == 0
-
-
-def test_ranges_equal_whole_files(spark, tmp_path):
-    for name, content in (("a", tone(31, 22_050)), ("b", tone(4, 48_000)), ("c", b"junk"), ("d", tone(1, 8000, 2))):
-        (tmp_path / f"{name}.wav").write_bytes(content)
-    whole = audio.scores(audio.files(spark, str(tmp_path)), linear(), overlap_s=1.0).collect()
-    paths = spark.createDataFrame([(str(p),) for p in sorted(tmp_path.glob("*.wav"))], "path string")
-    parts = audio.scores_of_ranges(paths, linear(), overlap_s=1.0, batch_size=4).collect()
-    key = lambda r: (r.path[-5:], r.chunk_idx if r.chunk_idx is not None else -1)
-    assert sorted(map(key, whole)) == sorted(map(key, parts))
-    for x, y in zip(sorted(whole, key=key), sorted(parts, key=key)):
-        assert (x.start_s, x.end_s, x.error is None) == (y.start_s, y.end_s, y.error is None)
-        assert x.logits is None or np.allclose(x.logits, y.logits, atol=1e-5)

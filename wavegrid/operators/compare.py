@@ -51,6 +51,16 @@ def occurring(rows: DataFrame) -> DataFrame:
     return rows.where("species is not null").select("species").distinct().orderBy("species")
 
 
+def matrix_long(rows: DataFrame, *, index: str = "chunk_idx", species: list[str]) -> DataFrame:
+    """The same as rows of (species, index, confidence), for every interval that
+    ``rows`` has, however many there are."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame([(s,) for s in species], "species string")
+    every = rows.select(index).distinct().select(index, F.explode(F.array(*map(F.lit, species))).alias("species")) if species else rows.select(index, F.lit("").alias("species")).limit(0)
+    first = rows.join(F.broadcast(names), "species").groupBy(index, "species").agg(F.max("confidence").alias("confidence"))
+    return every.join(first, [index, "species"], "left").na.fill(0.0, ["confidence"])
+
+
 def matrix(rows: DataFrame, columns: list, *, species: list[str] | None = None, index: str = "chunk_idx") -> DataFrame:
     """Species by interval, 0 where a species is absent.
 
@@ -73,6 +83,11 @@ def distinct_in_order(rows: DataFrame, value: str, position: str) -> DataFrame:
     return rows.groupBy(value).agg(F.min(position).alias(position)).orderBy(position)
 
 
+def subset(values: Column, labels: list[str]) -> Column:
+    """Whether all of an array's values are labels."""
+    return F.size(F.array_except(values, F.array(*map(F.lit, labels)))) == 0
+
+
 def unknown(wanted: DataFrame, labels: DataFrame, column: str = "species") -> DataFrame:
     """Wanted values that are no label."""
     return wanted.join(labels, column, "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.functions.scalar import frame_at
+from wavegrid.functions.scalar import frame_at, padded
 
 
 def _dyadic(x: float) -> bool:
@@ -13,6 +15,23 @@ def _dyadic(x: float) -> bool:
     return (x * 2.0**20).is_integer()
 
 
+_sums: dict[float, np.ndarray] = {}
+
+
+def _added_up(step: float):
+    """Function from n to the sum of n steps, added up one by one.  A worker keeps
+    the sums as far as it has needed them."""
+
+    @F.pandas_udf("double")
+    def run(n: pd.Series) -> pd.Series:
+        most = int(n.max()) if len(n) else 0
+        if len(_sums.get(step, ())) <= most:
+            _sums[step] = np.cumsum(np.concatenate([[0.0], np.full(max(1024, 2 * most), step)]))
+        return pd.Series(_sums[step][n.to_numpy(np.int64)])
+
+    return run
+
+
 def _check(chunk_s: float, overlap_s: float) -> float:
     if not chunk_s > 0 or not 0 <= overlap_s < chunk_s:
         raise ValueError("chunks need a length above 0 and an overlap from 0 to below it")
@@ -26,8 +45,9 @@ def bounded(files: DataFrame, *, key: str = "path", total: str = "duration_s", c
     interval that reaches the total is the last one and ends there.  A row whose
     total is null or not above 0 has no interval.  ``key`` must tell rows apart.
 
-    Where sums of steps are exact, starts are products and nothing is shuffled;
-    otherwise they are a running sum over each row's intervals.
+    Where sums of steps are exact, starts are products; otherwise they are looked
+    up among the sums of so many steps, which are the same for all rows.  Nothing is
+    shuffled.
     """
     step = _check(chunk_s, overlap_s)
     length = F.col(total).cast("double")
@@ -36,13 +56,11 @@ def bounded(files: DataFrame, *, key: str = "path", total: str = "duration_s", c
     if _dyadic(step):
         before, start = (F.col("chunk_idx") - 1) * F.lit(step), F.col("chunk_idx") * F.lit(step)
     else:
-        order = Window.partitionBy(key).orderBy("chunk_idx")
-        sums = order.rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("start_s", F.coalesce(F.sum(F.lit(step)).over(sums), F.lit(0.0)))
-        rows = rows.withColumn("_before", F.lag("start_s").over(order))
-        before, start = F.col("_before"), F.col("start_s")
+        rows = rows.withColumn("start_s", _added_up(step)(F.col("chunk_idx")))
+        start = F.col("start_s")
+        before = _added_up(step)(F.greatest(F.lit(0).cast("long"), F.col("chunk_idx") - 1))
     rows = rows.where((F.col("chunk_idx") == 0) | (before + F.lit(float(chunk_s)) < length))
-    return rows.withColumns({"start_s": start, "end_s": F.least(start + F.lit(float(chunk_s)), length)}).drop("_before")
+    return rows.withColumns({"start_s": start, "end_s": F.least(start + F.lit(float(chunk_s)), length)})
 
 
 def unbounded(rows: DataFrame, *, n: int, chunk_s: float, overlap_s: float = 0.0, start: Column | float = 0.0, key: str = "path") -> DataFrame:
@@ -77,6 +95,12 @@ def slice_frames(samples: Column, start_frame: Column, end_frame: Column) -> Col
     return F.slice(samples, (start_frame + 1).cast("int"), (end_frame - start_frame).cast("int"))
 
 
+def cut(samples: Column, position: Column, size: int) -> Column:
+    """``size`` samples from ``position`` on, with zeros behind the last one."""
+    part = F.slice(samples, (position + 1).cast("int"), F.lit(size))
+    return padded(part, size)
+
+
 def batches(rows: DataFrame, n: int, *, key: str = "path", index: str = "chunk_idx") -> DataFrame:
     """key, batch and the ordered indices of each run of up to ``n`` rows."""
     if n < 1:

@@ -56,6 +56,13 @@ def check_threads(threads: int | None) -> None:
     _need(threads is None or threads >= 1, f"the number of threads is {threads}, below 1")
 
 
+def check_single_thread(scorer) -> None:
+    """Models of the light runtime use one thread each where many files are
+    processed at once."""
+    threads = getattr(scorer, "tflite_num_threads", 1)
+    _need(threads in (0, 1), f"the model's tflite_num_threads is {threads}; over many files it must be 1")
+
+
 def check_language(code: str) -> None:
     _need(code in LANGUAGES, f"language {code!r} is not one of {', '.join(sorted(LANGUAGES))}")
 

@@ -12,14 +12,14 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid import params
 from wavegrid.functions.scalar import passes, week_or_none
 from wavegrid.operators import post
-from wavegrid.runtime import ship
-from wavegrid.sources import audio
+from wavegrid.runtime import is_file, ship
+from wavegrid.sources import audio, models
 
 
 def _band(scorer, use_bandpass: bool, fmin, fmax) -> tuple[float, float] | None:
@@ -48,7 +48,7 @@ def predict_species_within_audio_file(
     audio_file,
     /,
     *,
-    scorer,
+    scorer=None,
     min_confidence: float = 0.1,
     batch_size: int = 100,
     chunk_overlap_s: float = 0.0,
@@ -62,8 +62,10 @@ def predict_species_within_audio_file(
     """Ranked predictions of each interval of one recording, in order of time.
 
     An interval without a prediction keeps its row.  A recording that can't be
-    used makes the action fail."""
+    used makes the action fail.  Without a ``scorer`` the stock classifier is used
+    from its staged folder (see :mod:`wavegrid.sources.models`)."""
     params.check_file(audio_file)
+    scorer = models.make("saved-model") if scorer is None else scorer
     settings = {"min_confidence": min_confidence, "batch_size": batch_size, "chunk_overlap_s": chunk_overlap_s, "use_bandpass": use_bandpass, "bandpass_fmin": bandpass_fmin, "bandpass_fmax": bandpass_fmax, "apply_sigmoid": apply_sigmoid, "sigmoid_sensitivity": sigmoid_sensitivity}
     params.check_audio(**settings)
     params.check_subset(species_filter, scorer.species)
@@ -77,7 +79,7 @@ def predict_species_within_audio_files(
     audio_files: Collection | str,
     /,
     *,
-    scorer,
+    scorer=None,
     min_confidence: float = 0.1,
     batch_size: int = 1,
     chunk_overlap_s: float = 0.0,
@@ -94,8 +96,12 @@ def predict_species_within_audio_files(
     one row with its error and no interval, also one that isn't there.
 
     ``audio_files`` are paths (repeated ones give repeated rows) or one glob for
-    Spark.  ``custom_n_jobs`` lowers the number of tasks; ``maxtasksperchild``
-    is checked and has no effect, as Spark manages its workers."""
+    Spark.  ``custom_n_jobs`` lowers the number of tasks, and there are no more than
+    paths; ``maxtasksperchild`` is checked and has no effect, as Spark manages its
+    workers.  Without a ``scorer`` the stock classifier in TFLite form is used from
+    its staged folder."""
+    scorer = models.make("tflite") if scorer is None else scorer
+    params.check_single_thread(scorer)
     settings = {"min_confidence": min_confidence, "batch_size": batch_size, "chunk_overlap_s": chunk_overlap_s, "use_bandpass": use_bandpass, "bandpass_fmin": bandpass_fmin, "bandpass_fmax": bandpass_fmax, "apply_sigmoid": apply_sigmoid, "sigmoid_sensitivity": sigmoid_sensitivity}
     params.check_audio(**settings)
     params.check_parallel(custom_n_jobs=custom_n_jobs, maxtasksperchild=maxtasksperchild)
@@ -104,21 +110,17 @@ def predict_species_within_audio_files(
         recordings, lost = audio.files(spark, audio_files), None
     else:
         paths = [str(p) for p in audio_files]
-        local = {p: Path(p).resolve().as_uri() if "://" not in p else p for p in paths}
-        there = [u for p, u in local.items() if "://" in p or Path(p).is_file()]
-        gone = [p for p in paths if "://" not in p and not Path(p).is_file()]
-        lost = spark.createDataFrame([(p, "there is no such file") for p in gone], "path string, error string") if gone else None
-        if not there:
-            recordings = spark.createDataFrame([], "path string, content binary")
-        else:
-            recordings = audio.files(spark, sorted(set(there)))
-        times = {}
-        for p in paths:
-            times[local[p].replace("file:///", "file:/")] = times.get(local[p].replace("file:///", "file:/"), 0) + 1
-        again = {p: n for p, n in times.items() if n > 1}
-        if again:
-            count = F.coalesce(F.create_map(*(F.lit(x) for pair in again.items() for x in pair))[F.col("path")], F.lit(1))
-            recordings = recordings.withColumn("copy", F.explode(F.sequence(F.lit(1), count))).drop("copy")
+        uris = [p if "://" in p else Path(p).resolve().as_uri() for p in paths]
+        asked = [(p, u.replace("file:///", "file:/"), is_file(spark, u)) for p, u in zip(paths, uris)]
+        table = spark.createDataFrame(asked, "asked string, path string, there boolean") if asked else spark.createDataFrame([], "asked string, path string, there boolean")
+        lost = table.where("not there").select(F.col("asked").alias("path"), F.lit("there is no such file").alias("error"))
+        there = sorted({uri for _, uri, found in asked if found})
+        recordings = audio.files(spark, there) if there else spark.createDataFrame([], "path string, content binary")
+        if len(there) < sum(found for *_, found in asked):  # some are given again
+            recordings = recordings.join(table.where("there").groupBy("path").agg(F.count("*").cast("int").alias("times")), "path")
+            recordings = recordings.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).drop("time", "times")
+        if custom_n_jobs is not None:
+            custom_n_jobs = max(1, min(custom_n_jobs, len(paths)))
     if custom_n_jobs is not None:
         recordings = recordings.coalesce(custom_n_jobs)
     rows = _plan(recordings, scorer, species_filter=species_filter, **settings)
@@ -140,13 +142,19 @@ def _score_places(scorer):
     return run
 
 
+def is_place(latitude: Column, longitude: Column, week: Column) -> Column:
+    """Whether a row's place and week (null: none) are in range."""
+    fine = latitude.between(-90, 90) & longitude.between(-180, 180) & F.coalesce(week.between(1, 48), F.lit(True))
+    return F.coalesce(fine, F.lit(False))
+
+
 def predict_locations(requests: DataFrame, scorer, *, min_confidence: float = 0.03) -> DataFrame:
     """(req_id, latitude, longitude, week, predictions) for a table of places and
     weeks; a row out of range makes the action fail, a null week is none."""
     params.check_confidence(min_confidence)
     ship(requests.sparkSession)
-    fine = F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180) & F.coalesce(F.col("week").between(1, 48), F.lit(True))
-    checked = F.when(F.coalesce(fine, F.lit(False)), week_or_none(F.col("week"))).otherwise(F.raise_error(F.lit("a place or week is out of range")).cast("int"))
+    fine = is_place(F.col("latitude"), F.col("longitude"), F.col("week"))
+    checked = F.when(fine, week_or_none(F.col("week"))).otherwise(F.raise_error(F.lit("a place or week is out of range")).cast("int"))
     rows = requests.select("req_id", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), checked.alias("week"))
     rows = rows.mapInPandas(_score_places(scorer), "req_id bigint, latitude double, longitude double, week int, scores array<float>")
     found = post.attach(F.col("scores"), list(scorer.species))
@@ -155,10 +163,11 @@ def predict_locations(requests: DataFrame, scorer, *, min_confidence: float = 0.
     return rows.select("req_id", "latitude", "longitude", week.alias("week"), post.ranked_by_label(found).alias("predictions"))
 
 
-def predict_species_at_location_and_time(spark: SparkSession, latitude: float, longitude: float, /, *, scorer, week: int | None = None, min_confidence: float = 0.03) -> OrderedDict:
+def predict_species_at_location_and_time(spark: SparkSession, latitude: float, longitude: float, /, *, scorer=None, week: int | None = None, min_confidence: float = 0.03) -> OrderedDict:
     """Species and confidences at one place, best first, label order among equal
     ones."""
     params.check_location(latitude=latitude, longitude=longitude, week=week, min_confidence=min_confidence)
+    scorer = models.make("geo-saved-model") if scorer is None else scorer
     request = spark.createDataFrame([(0, float(latitude), float(longitude), week)], "req_id bigint, latitude double, longitude double, week int")
     row = predict_locations(request, scorer, min_confidence=min_confidence).first()
     return OrderedDict((p["species"], p["confidence"]) for p in row["predictions"])

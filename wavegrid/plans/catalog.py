@@ -9,18 +9,19 @@ for label files, ``events`` for scalars and parameters, ``part`` and
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.functions import dsp, scalar
 from wavegrid.operators import compare, grid, post
 from wavegrid.plans import api
-from wavegrid.runtime import ship
-from wavegrid.scorers import ConstantScorer, GaussianGeoScorer
+from wavegrid.runtime import put, shared_dir, ship
+from wavegrid.scorers import ConstantScorer, GaussianGeoScorer, LinearScorer
 from wavegrid.sources import audio, labels
 
 QUERIES: dict = {}
@@ -295,12 +296,12 @@ def filter_conf_float_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "location_params",
-    """select event_id, (value - 100e0 between -90 and 90) and (value - 250e0 between -180 and 180) as inside,
-       coalesce(case when event_id % 5 > 0 then (event_id % 48 + 1)::integer end, -1) as week from events""",
+    """select event_id, coalesce((value - 100e0 between -90 and 90) and (value - 250e0 between -180 and 180) and (week is null or week between 1 and 48), false) as inside, coalesce(week, -1) as week
+from (select *, case when event_id % 5 > 0 then (event_id % 51 + 1)::integer end as week from events)""",
 )
 def location_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    week = F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 48 + 1)
-    inside = (F.col("value") - 100).between(-90, 90) & (F.col("value") - 250).between(-180, 180)
+    week = F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 51 + 1)
+    inside = api.is_place(F.col("value") - 100, F.col("value") - 250, week)
     return table(spark, sf_dir, "events").select("event_id", inside.alias("inside"), scalar.week_or_none(week).alias("week"))
 
 
@@ -323,11 +324,18 @@ def bandpass_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sort_ties",
-    """select p_brand, p_partkey, row_number() over (partition by p_brand order by p_size desc, p_name, p_partkey) as rank from part""",
+    f"""with {_CHUNKS}, q as (select chunk_idx, species, (round_even(logit * 8e0, 0) / 8e0)::float as c from named)
+select chunk_idx, species, row_number() over (partition by chunk_idx order by c desc, species desc) as rank, c::double as confidence from q""",
 )
 def sort_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("p_brand").orderBy(F.col("p_size").desc(), "p_name", "p_partkey")
-    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(order).cast("long").alias("rank"))
+    """Few different scores, and labels in falling order, so that equal scores
+    stand in the order of names only if they are sorted by them."""
+    scores = F.transform("logits", lambda x: (F.rint(x.cast("double") * 8.0) / F.lit(8.0)).cast("float"))
+    falling = [f"t{99 - int(n[1:]):02d}" for n in NAMES]
+    rows = scored(spark, sf_dir).withColumn("logits", scores)
+    rows = post.long_form(post.predictions(rows, falling, apply_sigmoid=False, min_confidence=0), outer=False)
+    name = F.concat(F.lit("s"), F.lpad((99 - F.substring("species", 2, 2).cast("int")).cast("string"), 2, "0"))
+    return rows.select("chunk_idx", name.alias("species"), F.col("rank").cast("long").alias("rank"), F.col("confidence").cast("double").alias("confidence"))
 
 
 @query(
@@ -357,32 +365,45 @@ def occurring_species(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "matrix_pivot",
-    "with " + _CHUNKS + " select species, " + ", ".join(f"coalesce(max(case when path = '{i}' and logit::double >= 0.3e0 then logit end), 0)::float as r{i}" for i in range(10)) + " from named group by species",
+    f"""with {_CHUNKS}, kept as (select path, species, logit from named where logit::double >= 0.3e0),
+paths as (select distinct path from kept), names as (select distinct species from named),
+best as (select path, species, max(logit) as c from kept group by path, species)
+select path, species, coalesce(c, 0)::float::double as confidence from paths cross join names left join best using (path, species)""",
 )
 def matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best confidence of each species in each recording, 0 where it is absent."""
     rows = post.long_form(post.predictions(scored(spark, sf_dir), NAMES, apply_sigmoid=False, min_confidence=0.3), outer=False)
-    best = rows.groupBy("path", "species").agg(F.max("confidence").alias("confidence"))
-    wide = compare.matrix(best, [str(i) for i in range(10)], species=NAMES, index="path")
-    return wide.select("species", *(F.col(str(i)).alias(f"r{i}") for i in range(10)))
+    found = compare.matrix_long(rows, species=NAMES, index="path")
+    return found.select("path", "species", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query(
+    "matrix_wide",
+    f"""with {_CHUNKS} select species, coalesce(max(case when chunk_idx = 3 and logit::double >= 0.1e0 then logit end), 0)::float as c3, coalesce(max(case when chunk_idx = 8 and logit::double >= 0.1e0 then logit end), 0)::float as c8 from named group by species""",
+)
+def matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of two intervals."""
+    rows = post.long_form(post.predictions(scored(spark, sf_dir), NAMES, apply_sigmoid=False, min_confidence=0.1), outer=False)
+    wide = compare.matrix(rows, [3, 8], species=NAMES)
+    return wide.select("species", F.col("3").alias("c3"), F.col("8").alias("c8"))
 
 
 @query(
     "pred_equality",
-    """with l as (select event_id, value from events where value >= 5),
-r as (select event_id, value + case when value >= 300 then 0.001e0 when value >= 200 then 0.0000001e0 else 0e0 end as value from events where value < 480)
-select coalesce(l.event_id, r.event_id) as event_id, l.event_id is not null as in_left, r.event_id is not null as in_right from l full join r on l.event_id = r.event_id
-where l.event_id is null or r.event_id is null or not (abs(l.value - r.value) <= greatest(1e-5, 1e-9 * greatest(abs(l.value), abs(r.value))))""",
+    f"""with {_CHUNKS}, l as (select path, start_s, end_s, species, logit::double as c from named where logit::double >= 0.05e0),
+r as (select path, start_s, end_s, species, (logit::double + case chunk_idx % 5 when 1 then 0.001e0 when 2 then 0.0000001e0 else 0e0 end) as c from named where chunk_idx % 11 <> 3 and logit::double >= 0.05e0)
+select path, start_s, end_s, species, l.c is not null as in_left, r.c is not null as in_right from l full join r using (path, start_s, end_s, species)
+where l.c is null or r.c is null or not (abs(l.c - r.c) <= greatest(1e-5, 1e-9 * greatest(abs(l.c), abs(r.c))))""",
 )
 def pred_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two result sets that lack each other's lowest and highest values and
-    differ in some: what is on one side only, and what is not close."""
-    events = table(spark, sf_dir, "events")
-    shift = F.when(F.col("value") >= 300, 0.001).when(F.col("value") >= 200, 1e-7).otherwise(0.0)
-    left = events.where("value >= 5").select("event_id", F.col("value").alias("confidence"))
-    right = events.where("value < 480").select("event_id", (F.col("value") + shift).alias("confidence"))
-    found = compare.differences(left, right, decimals=5, keys=["event_id"])
-    return found.select("event_id", F.col("left_confidence").isNotNull().alias("in_left"), F.col("right_confidence").isNotNull().alias("in_right"))
+    """Two result sets over the same recordings, by interval and species: the right
+    one lacks some intervals, and in others its confidences are off by more or less
+    than the tolerance."""
+    rows = post.long_form(post.predictions(scored(spark, sf_dir), NAMES, apply_sigmoid=False, min_confidence=0.05), outer=False)
+    shift = F.when(F.col("chunk_idx") % 5 == 1, 0.001).when(F.col("chunk_idx") % 5 == 2, 1e-7).otherwise(0.0)
+    right = rows.where(F.col("chunk_idx") % 11 != 3).withColumn("confidence", F.col("confidence").cast("double") + shift)
+    found = compare.differences(rows, right, decimals=5)
+    return found.select(*compare.INTERVAL, "species", F.col("left_confidence").isNotNull().alias("in_left"), F.col("right_confidence").isNotNull().alias("in_right"))
 
 
 @query(
@@ -395,10 +416,15 @@ def order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.misordered(rows).groupBy("path").agg(F.count("*").alias("wrong"))
 
 
-@query("interval_order_check", """select 0::bigint as wrong""")
+@query(
+    "interval_order_check",
+    """select doc_id::varchar as path, 1 + greatest(0, ceil((n_chars / 100e0 - 3e0) / 3e0)::bigint) - 1 as wrong from documents where doc_id % 3 = 0 and n_chars > 300""",
+)
 def interval_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), (F.col("n_chars") / F.lit(100.0)).alias("duration_s"))
-    return compare.misordered_intervals(grid.bounded(rows)).agg(F.count("*").alias("wrong"))
+    """A third of the recordings have their intervals numbered from the end."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") / F.lit(100.0)).alias("duration_s"), (F.col("doc_id") % 3 == 0).alias("turned"))
+    rows = grid.bounded(rows).withColumn("chunk_idx", F.when(F.col("turned"), -F.col("chunk_idx")).otherwise(F.col("chunk_idx")))
+    return compare.misordered_intervals(rows).groupBy("path").agg(F.count("*").alias("wrong"))
 
 
 @query("nonzero_count", f"""with {_CHUNKS} select count_if(logit <> 0)::bigint as nonzero, count_if(logit > 0)::bigint as positive from named""")
@@ -416,8 +442,8 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select doc_id, source in ('src1', 'src2', 'src3') as known from documents""",
 )
 def label_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*map(F.lit, ["src1", "src2", "src3"]))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.size(F.array_except(F.array("source"), names)) == 0).alias("known"))
+    known = compare.subset(F.array("source"), ["src1", "src2", "src3"])
+    return table(spark, sf_dir, "documents").select("doc_id", known.alias("known"))
 
 
 # Label files and names.
@@ -436,11 +462,14 @@ def labels_splitlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "raven_two_fields",
-    """select c_custkey, len(string_split(c_name, '#')) = 2 as valid, string_split(c_name, '#')[2] as species from customer""",
+    """select c_custkey::varchar as code, c_name || ', ' || c_mktsegment as species from customer""",
 )
 def raven_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", labels.two_fields(F.col("c_name"), "#").alias("r"))
-    return rows.select("c_custkey", F.col("r.valid").alias("valid"), F.get("r.fields", F.lit(1)).alias("species"))
+    """A label file of codes and quoted names with commas in them."""
+    folder = f"{shared_dir(spark)}/wavegrid/code-csv-{uuid.uuid4().hex}"
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit(", "), F.col("c_mktsegment"), F.lit('"'))
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(folder)
+    return labels.read_code_csv(spark, folder)
 
 
 @query(
@@ -462,25 +491,104 @@ w as (select label, i, avg(x) as w from e group by label, i)
 select e.vec_id, w.label, round(sum(e.x * w.w), 4) + 0e0 as logit from e join w on e.i = w.i group by e.vec_id, w.label""",
 )
 def linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by a linear head whose weights are each label's mean vector.  The
-    weights are one array per label, so rows meet them without an explode."""
+    """Scores by a linear head whose weights are each label's mean vector; the head
+    is as large as labels times places."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     places = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("w"))
-    heads = places.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("w"))
-    heads = heads.agg(F.collect_list(F.struct("label", "w")).alias("heads"))
-    dot = F.transform("heads", lambda h: F.struct(h["label"].alias("label"), F.aggregate(F.zip_with("embedding", h["w"], lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, b: a + b).alias("logit")))
-    scored_rows = rows.select("vec_id", "embedding").crossJoin(F.broadcast(heads)).select("vec_id", F.explode(dot).alias("h"))
-    return scored_rows.select("vec_id", F.col("h.label").alias("label"), F.round("h.logit", 4).alias("logit"))
+    weights = places.toPandas().pivot(index="i", columns="label", values="w")
+    scorer = LinearScorer([str(c) for c in weights.columns], weights=weights.to_numpy())
+
+    def run(batches):
+        for frame in batches:
+            x = np.stack(frame["embedding"].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, len(weights)))
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "logits": list(scorer.head(x))})
+
+    scores_ = rows.select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, logits array<double>")
+    named = scores_.select("vec_id", F.posexplode("logits").alias("i", "logit"))
+    return named.select("vec_id", F.get(F.array(*(F.lit(int(c)) for c in weights.columns)), F.col("i")).cast(rows.schema["label"].dataType).alias("label"), (F.round("logit", 4) + 0.0).alias("logit"))
+
+
+def ramp(frames: int) -> bytes:
+    """A WAV file at 48 kHz whose samples go from -50 to 49 again and again."""
+    x = (np.arange(frames) % 100 - 50).astype("<i2")
+    out = io.BytesIO()
+    with wave.open(out, "wb") as file:
+        file.setnchannels(1)
+        file.setsampwidth(2)
+        file.setframerate(48_000)
+        file.writeframes(x.tobytes())
+    return out.getvalue()
+
+
+def _wav_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Paths of one recording for each of the 25 nations, written to the shared
+    folder: 0.625 s for each nation up to it; of each five nations one's file is
+    broken and one's is missing."""
+    folder = f"{shared_dir(spark)}/wavegrid/recordings-{uuid.uuid4().hex}"
+    paths = []
+    for (key,) in table(spark, sf_dir, "nation").select("n_nationkey").collect():
+        paths.append(f"{folder}/{key}.wav")
+        if key % 5 < 4:
+            put(spark, paths[-1], b"no sound" if key % 5 == 3 else ramp(30_000 * (key + 1)))
+    return paths
+
+
+def _nation(path: str = "path"):
+    return F.regexp_extract(path, r"(\d+)\.wav$", 1).cast("int").alias("nation")
 
 
 @query(
     "files_errors",
-    """select source, count_if(n_chars >= 500)::bigint as good, count_if(n_chars < 500)::bigint as bad from documents group by source""",
+    """select n_nationkey::integer as nation, case when n_nationkey % 5 < 3 then 1 + greatest(0, ceil(((n_nationkey + 1) * 0.625e0 - 3e0) / 1.5e0)::bigint) else 0 end as intervals, n_nationkey % 5 >= 3 as failed from nation""",
 )
 def files_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = F.when(F.col("n_chars") < 500, F.lit("too short"))
-    rows = table(spark, sf_dir, "documents").select("source", error.alias("error"))
-    return rows.groupBy("source").agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+    """Predictions over real files, of which some are broken and some missing: the
+    others' intervals, and the failures."""
+    scorer = ConstantScorer(["a", "b"], scores=[0.5, 0.25])
+    rows = api.predict_species_within_audio_files(spark, _wav_files(spark, sf_dir), scorer=scorer, chunk_overlap_s=1.5, apply_sigmoid=False, min_confidence=0, custom_n_jobs=2)
+    good = rows.where("error is null").groupBy("path").agg(F.count("*").alias("intervals")).select(_nation(), "intervals", F.lit(False).alias("failed"))
+    return good.unionByName(api.failures(rows).select(_nation(), F.lit(0).cast("long").alias("intervals"), F.lit(True).alias("failed")))
+
+
+@query(
+    "chunk_samples",
+    """with f as (select n_nationkey as k, (n_nationkey + 1) * 0.625e0 as t from nation where n_nationkey % 5 < 3),
+g as (select k, t, unnest(range(0, 1 + greatest(0, ceil((t - 3e0) / 2e0)::bigint))) as i from f),
+b as (select k, i * 2e0 as start_s, least(i * 2e0 + 3e0, t) as end_s from g)
+select k::integer as nation, start_s, end_s, round_even(end_s * 48000, 0)::bigint - round_even(start_s * 48000, 0)::bigint as n,
+  list_sum(list_transform(range(round_even(start_s * 48000, 0)::bigint, round_even(end_s * 48000, 0)::bigint), lambda j: j % 100 - 50))::bigint as sum from b""",
+)
+def chunk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by interval: their number and sum."""
+    there = [p for p in _wav_files(spark, sf_dir) if int(p.rsplit("/", 1)[1][:-4]) % 5 < 3]
+    rows = audio.chunks(audio.files(spark, there), overlap_s=1.0)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.rint(x.cast("double") * 32768.0))
+    return rows.select(_nation(), "start_s", "end_s", F.size("samples").cast("long").alias("n"), total.cast("long").alias("sum"))
+
+
+@query(
+    "legacy_samples",
+    """with p as (select vec_id, list_concat(embedding, list_transform(range(0, 30), lambda x: 0::float)) as x, unnest([0, 20, 40]) as position from embeddings)
+select vec_id, position::bigint as position, position // 20 * 2e0 as start_s, position // 20 * 2e0 + 3e0 as end_s, 30::bigint as n, round(list_sum(list_transform(x[position + 1 : position + 30], lambda y: y::double)), 4) as sum, x[position + 30]::double as last from p""",
+)
+def legacy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the older chunker, with silence behind the last sample: vectors are
+    signals of 6.4 seconds at 10 Hz."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.size("embedding").alias("n_samples"))
+    rows = grid.legacy(rows, rate=10, chunk_s=3.0, overlap_s=1.0, least_s=1.0, key="vec_id").withColumn("x", grid.cut(F.col("embedding"), F.col("position"), 30))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b.cast("double"))
+    return rows.select("vec_id", "position", "start_s", "end_s", F.size("x").cast("long").alias("n"), F.round(total, 4).alias("sum"), F.element_at("x", -1).cast("double").alias("last"))
+
+
+@query(
+    "interval_keyed",
+    f"""with {_CHUNKS}, c as (select *, {_sigmoid("logit", 1.0)}::float as c from named)
+select path, start_s, end_s, species, round(c::double, 6) as confidence from c where c::double >= 0.55e0 and start_s = 24 and end_s = 27""",
+)
+def interval_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions looked up by their interval."""
+    rows = post.at_interval(post.predictions(scored(spark, sf_dir), NAMES, min_confidence=0.55), 24.0, 27.0)
+    return post.long_form(rows, outer=False).select("path", "start_s", "end_s", "species", rounded("confidence").alias("confidence"))
 
 
 def tone(seconds: float, rate: int, channels: int = 1, hertz: float = 1000.0) -> bytes:

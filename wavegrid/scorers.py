@@ -80,9 +80,12 @@ class LinearScorer(AudioScorerBase):
     weights: np.ndarray | None = None
     bias: np.ndarray | None = None
 
+    def head(self, x: np.ndarray) -> np.ndarray:
+        """Scores of embedded chunks."""
+        return x @ np.asarray(self.weights) + (0 if self.bias is None else np.asarray(self.bias))
+
     def predict_species(self, batch: np.ndarray) -> np.ndarray:
-        w = np.asarray(self.weights, np.float32)
-        return embed(batch, w.shape[0]) @ w + (0 if self.bias is None else np.asarray(self.bias, np.float32))
+        return self.head(embed(batch, np.shape(self.weights)[0])).astype(np.float32)
 
 
 @dataclass
@@ -116,6 +119,13 @@ class LazyScorer(AudioScorerBase):
         return self._model(batch)
 
 
+@dataclass
+class TFLiteScorer(LazyScorer):
+    """A model of the light runtime, with the threads that it may use."""
+
+    tflite_num_threads: int | None = 1
+
+
 @dataclass
 class GaussianGeoScorer:
     """A stand-in classifier of places: each species has a centre, a spread in

@@ -119,7 +119,8 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, content) of the recordings, read by Spark."""
+    """(path, content) of the recordings, read by Spark; paths that are given
+    again are read once."""
     ship(spark)
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
@@ -209,99 +210,3 @@ def scores(recordings: DataFrame, scorer, *, overlap_s: float = 0.0, batch_size:
                     yield pa.RecordBatch.from_pylist(rows[at : at + 256], _SCORES)
 
     return recordings.select("path", "content").mapInArrow(run, schemas.SCORES)
-
-
-def missing(spark: SparkSession, paths: list[str], found: DataFrame) -> DataFrame:
-    """(path, error) of asked paths that were not found."""
-    asked = spark.createDataFrame([(p,) for p in paths], "path string") if paths else spark.createDataFrame([], "path string")
-    return asked.join(found.select("path").distinct(), "path", "left_anti").withColumn("error", F.lit("there is no such file"))
-
-
-class _File:
-    """A file's bytes by slices, read as they are asked for."""
-
-    def __init__(self, path: str):
-        self.file = open(path.removeprefix("file://").removeprefix("file:"), "rb")
-        self.size = self.file.seek(0, io.SEEK_END)
-
-    def __getitem__(self, part: slice) -> bytes:
-        self.file.seek(part.start or 0)
-        return self.file.read(part.stop - (part.start or 0))
-
-    def close(self) -> None:
-        self.file.close()
-
-
-def _wav_file(path: str) -> tuple[_File, Wav]:
-    file = _File(path)
-    found = Wav(file[0:HEADER], file.size)
-    if found.channels != 1 or not found.frames:
-        raise ValueError(f"the recording has {found.channels} channels and {found.frames} samples; one channel with samples is supported")
-    return file, found
-
-
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("n_frames", pa.int64()), ("duration_s", pa.float64()), ("channels", pa.int32()), ("error", pa.string())])
-    for batch in batches:
-        rows = []
-        for path in batch.column(0).to_pylist():
-            try:
-                file, found = _wav_file(path)
-                file.close()
-                rows.append({"path": path, "sample_rate": found.rate, "n_frames": found.frames, "duration_s": found.frames / found.rate, "channels": 1})
-            except Exception as error:  # every fault of a file becomes its row's error
-                rows.append({"path": path, "error": str(error)})
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def scores_of_ranges(paths: DataFrame, scorer, *, overlap_s: float = 0.0, batch_size: int = 100, band: tuple[float, float] | None = None) -> DataFrame:
-    """The same rows as :func:`scores` for WAV files that the workers can open
-    (``path``), with long recordings split between tasks.
-
-    Only headers are read to lay out the intervals; runs of ``batch_size``
-    intervals are dealt over tasks, and each reads its own range of its file.
-    Intervals are rows of a few numbers when they are shuffled.
-    """
-    from wavegrid.operators import grid
-
-    size = round(scorer.sample_rate * scorer.chunk_size_s)
-    heads = paths.select("path").mapInArrow(_heads, schemas.AUDIO_FILE)
-    rows = grid.frames(grid.bounded(heads.where("error is null"), chunk_s=scorer.chunk_size_s, overlap_s=overlap_s))
-    run = F.floor(F.col("chunk_idx") / F.lit(batch_size)).alias("run")
-    dealt = rows.select("path", "chunk_idx", "start_s", "end_s", "start_frame", "end_frame", "sample_rate", run)
-    dealt = dealt.repartition("path", "run").sortWithinPartitions("path", "chunk_idx")
-
-    def score(path: str, part: list[dict]) -> list[dict]:
-        file, found = _wav_file(path)
-        try:
-            read = [dsp.resample(found.read(file, r["start_frame"], r["end_frame"])[:, 0], found.rate, scorer.sample_rate) for r in part]
-        finally:
-            file.close()
-        x = np.stack([fitted(c, size) for c in read]).astype(np.float32)
-        if band is not None:
-            x = dsp.filtered(x, scorer.sample_rate, *band, scorer.sig_fmin, scorer.sig_fmax)
-        out = np.asarray(scorer.predict_species(x), np.float32)
-        return [{"path": path, "chunk_idx": r["chunk_idx"], "start_s": r["start_s"], "end_s": r["end_s"], "logits": s} for r, s in zip(part, out)]
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def flush() -> pa.RecordBatch:
-            try:
-                found = score(held[0]["path"], held)
-            except Exception as error:
-                found = [{"path": held[0]["path"], "error": str(error)}]
-            return pa.RecordBatch.from_pylist(found, _SCORES)
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["path"] != held[0]["path"] or row["run"] != held[0]["run"]):
-                    yield flush()
-                    held = []
-                held.append(row)
-        if held:
-            yield flush()
-
-    scored = dealt.mapInArrow(solve, schemas.SCORES)
-    failed = heads.where("error is not null").select("path", "error")
-    return scored.unionByName(failed, allowMissingColumns=True)

@@ -44,8 +44,8 @@ def two_fields(line: Column, delimiter: str = ",") -> Column:
 
 def read_code_csv(spark: SparkSession, path: str) -> DataFrame:
     """(code, species) of CSV rows without a header; quoted fields are read as
-    such, and a row that has not two fields is an error."""
-    rows = spark.read.text(path).where("value <> ''")
+    such, and a row that has not two fields, as a blank one, is an error."""
+    rows = spark.read.text(path)
     parsed = F.from_csv(F.regexp_replace("value", "\r$", ""), "a string, b string, c string", {"mode": "PERMISSIVE"})
     rows = rows.select(parsed.alias("f"))
     valid = F.col("f.b").isNotNull() & F.col("f.c").isNull()
@@ -55,7 +55,7 @@ def read_code_csv(spark: SparkSession, path: str) -> DataFrame:
 def species_of_code_csv(path) -> list[str]:
     """Second fields of one driver-side file, in order, each once."""
     with open(path, encoding="utf8", newline="") as file:
-        rows = [row for row in csv.reader(file) if row]
+        rows = list(csv.reader(file))
     if any(len(row) != 2 for row in rows):
         raise ValueError(f"a row of {path} has not two fields")
     return list(dict.fromkeys(row[1] for row in rows))

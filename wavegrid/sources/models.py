@@ -16,9 +16,12 @@ from pathlib import Path
 import numpy as np
 
 from wavegrid import params
-from wavegrid.scorers import AudioScorer, GaussianGeoScorer, InverseSigmoidScorer, LazyScorer
+from wavegrid.scorers import AudioScorer, GaussianGeoScorer, InverseSigmoidScorer, LazyScorer, TFLiteScorer
 from wavegrid.sources.labels import get_species_from_file, species_of_code_csv
 
+# Sizes of the stock classifiers' files in TFLite form.
+AUDIO_BYTES, GEO_BYTES = 51_726_412, 29_526_096
+
 _registry: dict[str, Callable[..., object]] = {}
 
 
@@ -101,6 +104,8 @@ def choose_device(available: list[str], wanted: str | None = None) -> str:
 
 
 def _saved_model(path: str, device: str | None):
+    """An audio model, whose scores come from a signature."""
+
     def load():
         import tensorflow as tf
 
@@ -116,6 +121,24 @@ def _saved_model(path: str, device: str | None):
     return load
 
 
+def _geo_saved_model(path: str, device: str | None):
+    """A model of places, which is called as such and returns one row."""
+
+    def load():
+        import tensorflow as tf
+
+        name = choose_device([d.name for d in tf.config.list_logical_devices()], device)
+        model = tf.saved_model.load(path)
+
+        def run(sample: np.ndarray) -> np.ndarray:
+            with tf.device(name):
+                return tf.squeeze(model(sample)).numpy()
+
+        return run
+
+    return load
+
+
 def _tflite(path: str, threads: int | None):
     def load():
         try:
@@ -150,7 +173,7 @@ def raven(folder, name: str, *, custom_device: str | None = None) -> AudioScorer
 def tflite_custom(folder, name: str, *, tflite_num_threads: int | None = 1) -> AudioScorer:
     params.check_threads(tflite_num_threads)
     model, labels = tflite_layout(folder, name)
-    return LazyScorer(get_species_from_file(labels), load=_tflite(str(model), tflite_num_threads))
+    return TFLiteScorer(get_species_from_file(labels), load=_tflite(str(model), tflite_num_threads), tflite_num_threads=tflite_num_threads)
 
 
 @register("saved-model")
@@ -159,6 +182,8 @@ def saved_model(folder=None, *, language: str = "en_us", custom_device: str | No
     params.check_language(language)
     folder = Path(folder or app_data_dir() / "audio-saved-model")
     labels = staged(folder, language)
+    if not saved_model_files(folder):
+        raise ValueError(f"{folder} holds no complete saved model")
     return LazyScorer(get_species_from_file(labels), load=_saved_model(str(folder), custom_device))
 
 
@@ -168,8 +193,8 @@ def tflite(folder=None, *, language: str = "en_us", tflite_num_threads: int | No
     params.check_threads(tflite_num_threads)
     params.check_language(language)
     folder = Path(folder or app_data_dir() / "audio-tflite")
-    labels = staged(folder, language)
-    return LazyScorer(get_species_from_file(labels), load=_tflite(str(folder / "audio-model.tflite"), tflite_num_threads))
+    labels = staged(folder, language, {"audio-model.tflite": AUDIO_BYTES})
+    return TFLiteScorer(get_species_from_file(labels), load=_tflite(str(folder / "audio-model.tflite"), tflite_num_threads), tflite_num_threads=tflite_num_threads)
 
 
 class _OneByOne:
@@ -191,7 +216,10 @@ class _OneByOne:
 def geo_saved_model(folder=None, *, language: str = "en_us", custom_device: str | None = None):
     params.check_language(language)
     folder = Path(folder or app_data_dir() / "geo-saved-model")
-    return _OneByOne(get_species_from_file(staged(folder, language)), _saved_model(str(folder), custom_device))
+    labels = staged(folder, language)
+    if not saved_model_files(folder):
+        raise ValueError(f"{folder} holds no complete saved model")
+    return _OneByOne(get_species_from_file(labels), _geo_saved_model(str(folder), custom_device))
 
 
 @register("geo-tflite")
@@ -199,7 +227,8 @@ def geo_tflite(folder=None, *, language: str = "en_us", tflite_num_threads: int
     params.check_threads(tflite_num_threads)
     params.check_language(language)
     folder = Path(folder or app_data_dir() / "geo-tflite")
-    return _OneByOne(get_species_from_file(staged(folder, language)), _tflite(str(folder / "meta-model.tflite"), tflite_num_threads))
+    labels = staged(folder, language, {"meta-model.tflite": GEO_BYTES})
+    return _OneByOne(get_species_from_file(labels), _tflite(str(folder / "meta-model.tflite"), tflite_num_threads))
 
 
 @register("geo-stand-in")
