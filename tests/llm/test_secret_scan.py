@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavegrid.llm import secret_scan as ss
+from wavegrid.llm.licence_texts import LICENCES
 
 RULES = [
     (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
@@ -30,49 +31,100 @@ def test_base_spans_equal_brute_force(docs):
     assert got == {i: brute(t) for i, t in rows}
 
 
-def p_value(word, alphabet):
+def structure(word, alphabet):
     v = [alphabet.index(c) for c in word]
     n, k = len(v), len(alphabet)
     chi = sum(v.count(s) ** 2 for s in range(k)) * k / n - n
     spread = 2 / (9 * (k - 1))
-    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
-    p1 = tail(((chi / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+    z1 = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
     high = [x >= k / 2 for x in v]
     pairs = 2 * sum(high) * (n - sum(high))
-    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    turns = sum(a != b for a, b in zip(high, high[1:]))
     variance = pairs * (pairs - n) / (n * n * (n - 1))
-    z2 = abs(runs - pairs / n - 1) / math.sqrt(variance) if variance > 0 else 10
+    z2 = abs(turns - pairs / n) / math.sqrt(variance) if variance > 0 else ss.MOST
     m = sum(v) / n
-    r = sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / sum((a - m) ** 2 for a in v)
-    return 3 * min(p1, 2 * tail(z2), 2 * tail(abs(r + 1 / n) * math.sqrt(n)))
+    around = sum((a - m) ** 2 for a in v)
+    z3 = abs(sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / around + 1 / n) * math.sqrt(n) if around > 1e-9 else ss.MOST
+    return min(ss.MOST, z1) + (min(ss.MOST, z2) + min(ss.MOST, z3)) / 2
 
 
-def test_battery_equals_the_formulas(spark):
+@pytest.mark.parametrize("piece", [1 << 14, 17])
+def test_battery_equals_the_formulas(spark, monkeypatch, piece):
+    monkeypatch.setattr(ss, "PIECE", piece)
     rng = random.Random(5)
     words = []
     for name, alphabet in ss.ALPHABETS.items():
-        for n in (24, 40, 100):
-            words.append((name, "".join(rng.choice(alphabet) for _ in range(n - 2)) + ("a1" if name in ("hex", "base36") else "A2")))
-    words += [("base36", "a1b2" * 10), ("hex", "0" * 30 + "f")]
-    df = spark.createDataFrame([(w,) for _, w in words], "text string").select("text", ss.battery(F.col("text")).alias("b"))
-    for (name, word), row in zip(words, df.collect()):
-        if len(row.b) and len(set(word)) > 2:
-            assert row.b[0].family == int(math.log2(len(word)))
-            alphabet = ss.ALPHABETS[name]
-            if all(c in alphabet for c in word):
-                want = min(ss.GRAIN, math.ceil(p_value(word, alphabet) * ss.GRAIN))
-                assert row.b[0].p == pytest.approx(want, abs=2), word
-
-
-def test_random_runs_are_reported_and_structured_ones_not(docs):
-    rng = random.Random(1)
-    alphabet = ss.ALPHABETS["base64"]
-    rows = [(i, "key " + "".join(rng.choice(alphabet[:62]) for _ in range(60)) + "A1b end") for i in range(30)]
-    rows += [(100 + i, "see Abc1" + "ab12AB" * 9 + " end") for i in range(30)] + [(200, "thisisaverylongwordwithoutanydigitsinside " * 3)]
-    got = {r.doc_id: r.spans for r in ss.scan(docs(rows)).collect()}
-    assert sum(len(got[i]) == 1 for i in range(30)) >= 27
-    assert all(got[i] == [] for i in range(100, 130)) and got[200] == []
-    assert ss.KINDS[got[0][0].rank] == "random" and got[0][0].start == 4
+        for n in (24, 34, 100):
+            words.append((name, "".join(rng.choice(alphabet) for _ in range(n - 2)) + ("a1" if name in ("hex", "base36") else "A2" if name == "base32" else "aA2"[-2:])))
+    words += [("base36", "g1z2" * 10), ("hex", "0" * 30 + "f"), ("hex", "0f" * 20)]
+    df = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(words)], "i int, code string, w string")
+    got = {r.i: r.u for r in df.select("i", ss._structure(F.col("w"), F.col("code")).alias("u")).collect()}
+    for i, (name, word) in enumerate(words):
+        folded = word.lower() if name in ("hex", "base36") else word
+        assert got[i] == pytest.approx(structure(folded, ss.ALPHABETS[name]) * ss.GRAIN, abs=1), (name, word)
+
+
+def test_decoys(spark):
+    """Of the run's length and encoding, from the words around it and its digits."""
+    word = "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5"
+    text = "the quick brown fox " * 20 + word + " jumps over the lazy dog" * 20
+    made = spark.createDataFrame([(text,)], "t string").select(ss._decoys(F.col("t"), F.struct(F.lit(400).cast("long").alias("start"), F.lit(400 + len(word)).cast("long").alias("stop"), F.lit(word).alias("word"), F.lit("base64").alias("code"))).alias("d")).first().d
+    digits = "".join(c for c in word if c.isdigit())[: ss.DIGITS]
+    assert len(made) == ss.DECOYS and all(len(d) == len(word) and d.endswith(digits) for d in made)
+    assert all(sum(w in d for w in ("The", "Quick", "Brown", "Fox")) >= 2 for d in made)
+
+
+def planted(seed, keys, others):
+    """Texts of prose with a key or an ordinary run in each."""
+    rng = random.Random(seed)
+    words = [w for _, t in LICENCES for w in re.findall("[A-Za-z]+", t)]
+    symbols = ss.ALPHABETS["base64"][:62]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def ordinary():
+        own = [rng.choice(words) for _ in range(9)]
+        while True:
+            run = rng.choice([
+                lambda: "".join(w.capitalize() for w in own[: rng.randint(5, 8)]) + str(rng.randrange(1000)),
+                lambda: "/".join(own[: rng.randint(5, 8)]) + f"/V{rng.randrange(10)}/Main",
+                lambda: "_".join(w.upper() if rng.random() < 0.3 else w for w in own[: rng.randint(5, 8)]) + f"_{rng.randrange(20)}",
+                lambda: "-".join(own[: rng.randint(5, 8)]) + f"-{rng.randrange(2000, 2030)}-Final",
+            ])()
+            if len(run) >= ss.MIN_LENGTH:
+                return run
+            own.append(rng.choice(words))
+
+    rows, where = [], {}
+    for i in range(keys + others):
+        run = "".join(rng.choice(symbols) for _ in range(rng.randint(40, 88))) if i < keys else ordinary()
+        before = prose(rng.randint(20, 80)) + " "
+        rows.append((i, before + run + " " + prose(rng.randint(20, 80))))
+        where[i] = (len(before), len(before) + len(run))
+    return rows, where
+
+
+@pytest.mark.parametrize("keys,others,recall", [(120, 400, 0.88), (40, 600, 0.7), (400, 40, 0.92)])
+def test_precision_and_recall_on_planted_keys(docs, keys, others, recall):
+    """Keys of 40 to 88 symbols among identifiers, paths and prose."""
+    rows, where = planted(keys, keys, others)
+    got = {r.doc_id: r for r in ss.scan(docs(rows, 4)).collect()}
+    reported = {(i, s.start, s.stop) for i, r in got.items() for s in r.random}
+    true = {(i, *where[i]) for i in range(keys)}
+    assert len(reported & true) >= recall * keys
+    assert len(reported - true) <= 0.06 * len(reported)
+    assert all(0 <= s.p <= 0.05 for r in got.values() for s in r.random)
+
+
+def test_ordinary_runs_alone_are_left(docs):
+    rows, _ = planted(9, 0, 400)
+    assert sum(len(r.random) for r in ss.scan(docs(rows, 4)).collect()) <= 2
+
+
+def test_one_identifier(docs):
+    rows = [(1, "the quick brown fox jumps over the lazy dog and more words of prose " * 9 + "theQuickBrownFoxJumpsOverTheLazyDog1"), (2, "Abc1" + "ab12AB" * 9 + " end"), (3, "thisisaverylongwordwithoutanydigitsinside " * 3)]
+    assert all(r.spans == [] for r in ss.scan(docs(rows)).collect())
 
 
 def test_listing_and_overlap(docs):
@@ -99,6 +151,17 @@ def test_odd_rows(docs, odd_rows):
     assert ss.redact(docs(odd_rows)).count() == len(odd_rows)
 
 
+def test_runs_of_megabytes(docs):
+    """A run of 2.6 MB is tested in pieces."""
+    rng = random.Random(4)
+    symbols = ss.ALPHABETS["base64"][:62]
+    block = "".join(rng.choice(symbols) for _ in range(1 << 16))
+    word = "".join(block[k:] + block[:k] for k in rng.sample(range(1 << 16), 40))
+    df = docs([(1, "x " + word)])
+    runs = df.select(F.explode(ss.battery(F.col("text"))).alias("r")).first().r
+    assert len(word) > 2_600_000 and (runs.start, runs.stop) == (2, 2 + len(word)) and runs.family == 300 + 24 and runs.x is None
+
+
 def test_long_runs(docs):
     rng = random.Random(3)
     word = "".join(rng.choice("0123456789abcdef") for _ in range(20_000))

@@ -63,11 +63,11 @@ with d as (
   select *, list_transform(g, lambda a: length(a)) as gl, list_transform(w, lambda a: length(a)) as wl from x
 ), m as (
   select doc_id, kind, rank, unnest(s) as word, unnest(wl) as n, unnest(gl[1 : len(wl)]) as gap, unnest(range(len(wl))) as i from y
-), z as (
+), placed as (
   select doc_id, kind, rank, word, n,
          (sum(gap + n) over (partition by doc_id, kind order by i) - n)::bigint as b from m
 ), base as (
-  select doc_id, kind, rank, b, b + n as e from z
+  select doc_id, kind, rank, b, b + n as e from placed
   where kind = 'assign' and length(word) >= 6 or kind = 'access' and n >= 20 or kind = 'hex' and n >= 24
 ), coded as (
   select doc_id, b, b + n as e, word,
@@ -76,18 +76,31 @@ with d as (
          when regexp_full_match(word, '[A-Z2-7]+') then 'base32'
          when regexp_full_match(word, '[0-9a-z]+|[0-9A-Z]+') then 'base36'
          when regexp_matches(word, '[a-z]') and regexp_matches(word, '[A-Z]') then 'base64' end as code
-  from z where kind = 'random'
+  from placed where kind = 'random'
+), around as (
+  select coded.*, least(length(word), 4096) as n, regexp_replace(substr(t, greatest(0, b - 12 * least(length(word), 4096)) + 1, b - greatest(0, b - 12 * least(length(word), 4096)))
+      || ' ' || substr(t, e + 1, 12 * least(length(word), 4096)), '[A-Za-z0-9+/_-]{24,}', ' ', 'g') as near,
+    floor(2e0 * log2(least(length(word), 4096)::double))::integer + case code when 'hex' then 0 when 'base32' then 100 when 'base36' then 200 else 300 end as family
+  from coded join d using (doc_id) where code is not null
+), made as (
+  select doc_id, b, e, code, family, n, case when code = 'hex' then '' else substr(regexp_replace(substr(word, 1, n), '[^0-9]', '', 'g'), 1, 4) end as digits,
+    case when code = 'hex' then regexp_replace(near, '[^0-9a-fA-F]', '', 'g') when code = 'base32' then upper(joined) else joined end as letters
+  from (select *, array_to_string(list_transform(regexp_extract_all(near, '[A-Za-z]+'), lambda x: upper(x[1]) || x[2:]), '') as joined from around)
+), strings as (
+  select doc_id, b, e, code, family, true as target, word as w from around
+  union all
+  select doc_id, b, e, code, family, false, substr(letters, i * (n - length(digits)) + 1, n - length(digits)) || digits
+  from made, range(0, 8) as r(i) where length(substr(letters, i * (n - length(digits)) + 1, n - length(digits))) = n - length(digits)
 ), v as (
-  select doc_id, b, e, length(a)::double as k,
-         list_transform(string_split(w, ''), lambda c: (instr(a, c) - 1)::double) as v
-  from (select doc_id, b, e,
-          case code when 'base64' then translate(word, '-_', '+/') when 'base32' then word else lower(word) end as w,
+  select doc_id, b, e, family, target, length(a)::double as k, list_transform(string_split(w, ''), lambda c: (instr(a, c) - 1)::double) as v
+  from (select doc_id, b, e, family, target,
+          case code when 'base64' then translate(w, '-_', '+/') when 'base32' then w else lower(w) end as w,
           case code when 'hex' then '0123456789abcdef' when 'base32' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
             when 'base36' then '0123456789abcdefghijklmnopqrstuvwxyz'
             else 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' end as a
-        from coded where code is not null)
+        from strings)
 ), q as (
-  select doc_id, b, e, k, len(v)::double as n,
+  select doc_id, b, e, family, target, k, len(v)::double as n,
     list_sum(list_transform(range(0, k::bigint), lambda s: pow(len(list_filter(v, lambda y: y = s)), 2))) as squares,
     len(list_filter(v, lambda y: y >= k / 2))::double as ones,
     len(list_filter(list_zip(v[2:], v[:-2]), lambda r: (r[1] >= k / 2) <> (r[2] >= k / 2)))::double as turns,
@@ -98,30 +111,33 @@ with d as (
   select *, squares * k / n - n as chi, 2e0 / (9e0 * (k - 1)) as spread, 2e0 * ones * (n - ones) as pairs, total / n as mean,
     power - n * (total / n) * (total / n) as around from q
 ), t as (
-  select doc_id, b, e, n,
+  select doc_id, b, e, family, target,
     (pow(greatest(chi, 0e0) / (k - 1), 1e0 / 3) - (1e0 - spread)) / sqrt(spread) as z1,
-    case when pairs * (pairs - n) / (n * n * (n - 1)) > 0 then abs(turns - pairs / n) / sqrt(pairs * (pairs - n) / (n * n * (n - 1))) else 10e0 end as z2,
-    case when around > 1e-9 then abs((lagged - mean * (2 * total - first - last) + (n - 1) * mean * mean) / around + 1e0 / n) * sqrt(n) else 10e0 end as z3
+    case when pairs * (pairs - n) / (n * n * (n - 1)) > 0 then abs(turns - pairs / n) / sqrt(pairs * (pairs - n) / (n * n * (n - 1))) else 40e0 end as z2,
+    case when around > 1e-9 then abs((lagged - mean * (2 * total - first - last) + (n - 1) * mean * mean) / around + 1e0 / n) * sqrt(n) else 40e0 end as z3
   from c
 ), u as (
-  select doc_id, b, e, n, unnest([1, 2, 2]) as sides, unnest([z1, z2, z3]) as z, unnest([1, 2, 3]) as test from t
+  select doc_id, b, e, family, target, round_even((least(40e0, z1) + (least(40e0, z2) + least(40e0, z3)) / 2e0) * 64e0, 0)::bigint as u from t
+), others as (
+  select doc_id, b, e, count(*)::double as d, sum(u)::double as s, sum(u * u)::double as q from u where not target group by doc_id, b, e having count(*) >= 2
+), apart as (
+  select u.doc_id, u.b, u.e, family, round_even((u - s / d) / sqrt(1e0 + 1e0 / d), 0)::integer as x, d - 1 as spare, q - s * s / d as spread
+  from u join others o on o.doc_id = u.doc_id and o.b = u.b and o.e = u.e where target
+), null_ as (
+  select family, count(*) as every, greatest(0.5e0, sqrt(sum(spread) / sum(spare)) / 64e0) as deviation from apart group by family having sum(spare) >= 8
+), cum as (
+  select family, x, sum(n) over (partition by family order by x) as below from (select family, x, count(*) as n from apart group by family, x)
+), z as (
+  select *, -x / 64e0 / deviation as z from cum join null_ using (family)
 ), h as (
-  select *, 1e0 / (1e0 + 0.3275911e0 * (abs(z) / sqrt(2e0))) as a, abs(z) / sqrt(2e0) as r from u
+  select *, 1e0 / (1e0 + 0.3275911e0 * (abs(z) / sqrt(2e0))) as a, abs(z) / sqrt(2e0) as r from z
 ), tail as (
   select *, 0.5e0 * a * (0.254829592e0 + a * (-0.284496736e0 + a * (1.421413741e0 + a * (-1.453152027e0 + a * 1.061405429e0)))) * exp(-r * r) as half from h
-), p as (
-  select doc_id, b, e, floor(log2(n))::integer as family,
-    least(65536, ceil(3e0 * min(sides * case when z >= 0 then half else 1e0 - half end) * 65536))::integer as p
-  from tail group by doc_id, b, e, n
-), fam as (
-  select family, p, count(*) as n from p group by family, p
-), cum as (
-  select family, p, sum(n) over (partition by family order by p) as below, sum(n) over (partition by family) as every from fam
 ), cut as (
-  select family, max(p) as cut from cum where p / 65536e0 <= 0.05e0 * below / every group by family
+  select family, max(x) as cut from tail where case when z >= 0 then half else 1e0 - half end <= 0.05e0 * below / every group by family
 ), more as (
-  select p.doc_id, 'random' as kind, 3 as rank, p.b, p.e from p left join cut using (family)
-  where p.p > coalesce(cut, -1) and not exists (select 1 from base where base.doc_id = p.doc_id and base.b < p.e and p.b < base.e)
+  select apart.doc_id, 'random' as kind, 3 as rank, apart.b, apart.e from apart join cut using (family)
+  where x <= cut and not exists (select 1 from base where base.doc_id = apart.doc_id and base.b < apart.e and apart.b < base.e)
 ), spans as (
   select * from base union all select * from more
 ), s as (

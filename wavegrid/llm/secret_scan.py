@@ -2,28 +2,45 @@
 
 Base rules find assignments to secret names, access key ids and long hex runs.
 The battery adds runs of ``MIN_LENGTH`` or more letters, digits and ``+/_-``
-whose encoding can be inferred (hex, base32, base36, base64) and that pass as
+whose encoding can be inferred (hex, base32, base36, base64) and that look like
 random draws from its alphabet.  For the n symbols of a run:
 
 * chi-squared test of uniform symbol counts (Wilson-Hilferty),
 * runs test of the upper against the lower half of the alphabet,
 * serial correlation of neighbouring symbols.
 
-The run's p-value is three times the least of the three.  Runs of similar length
-(one power of two) form a family, because longer runs betray structure more
-easily; in each family the Benjamini-Hochberg rule at ``RATE`` names the runs
-that are not random, over all documents, and the others are reported.  p-values
-are counted in ``GRAIN`` bins rounded up, so the table of a family is bounded and
-its rule stays on the safe side.
+A run's structure is the first deviate and half the two others: about 1 for a
+random key of any length, and the larger the longer a run of ordinary words is.
+
+What is controlled is the share of ordinary runs among those reported.  What is
+ordinary is learned from the texts themselves: each run gets up to ``DECOYS``
+decoys of its own length and encoding, joined from the capitalised words around
+it and its first ``DIGITS`` digits (hex: from the hex digits around it), and is
+compared with their mean.  Runs of one encoding and similar length (half a power of
+two; the longest count as ``LONGEST``) form a family, since longer runs betray
+structure more easily.  The deviation of its decoys from their means gives each
+run a p-value, the probability that an ordinary run has so little structure, and
+in each family the Benjamini-Hochberg rule at ``RATE``, over all documents, names
+the runs to report.  A run of fewer than ``COMPARED`` decoys, and a family of fewer
+than ``LEAST`` to spare, has nothing to compare with and is not reported.
+Differences are counted in ``GRAIN``-ths, so the table of a family is bounded and
+its sums are exact.
+
+Short runs of letters and digits (base32 and base36 below about 40 symbols) do not
+differ enough from joined words, and are reported only where most such runs are
+random.
 
 Positions come from the pieces between matches: Spark has no function for them.
-They are summed in blocks of ``BLOCK`` matches.
+They are summed in blocks of ``BLOCK`` matches, and a run's symbols are counted in
+pieces of ``PIECE``, so memory does not grow with a run by more than its bytes.
 
 Cases: a null text counts as empty, an empty text has no span; rows are
 independent but for the families' rule, so null and repeated ids and repeated
-rows each give a row; a table without candidates has no family; other columns
-are not read.  Positions count code points, ends are exclusive; a span is the
-whole match.  A run that overlaps a base span is not reported twice.
+rows each give a row; ties: runs of one family with equal differences are reported
+together or not at all; a table without candidates has no family, and an empty
+table gives an empty one; other columns are not read.  Positions count code
+points, ends are exclusive; a span is the whole match.  A run that overlaps a base
+span is not reported twice.
 """
 
 from __future__ import annotations
@@ -31,12 +48,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import fresh
+from wavegrid.llm.common import fresh, materialize
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Shorter matches fail, so the rules for runs ask for the length at once.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-MIN_SECRET, MIN_LENGTH, RATE, GRAIN, BLOCK = 6, 24, 0.05, 1 << 16, 256
+MIN_SECRET, MIN_LENGTH, RATE, GRAIN, BLOCK, PIECE = 6, 24, 0.05, 64, 256, 1 << 16
+
+#: Decoys of a run, the least that it is compared with, the least to spare in a
+#: family, digits and symbols of a decoy at most, and characters on each side that
+#: decoys are made from, as a multiple of the run's.
+DECOYS, COMPARED, LEAST, DIGITS, LONGEST, AROUND = 8, 2, 8, 4, 4096, 12
+
+#: Least deviation of a family's decoys, and the largest deviate of a test.
+SPREAD, MOST = 0.5, 40.0
+
 RUN = r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH
 
 #: Kinds in the order in which spans of one start are listed.
@@ -112,70 +138,152 @@ def _encoding(word: Column) -> Column:
     )
 
 
+def _structure(word: Column, code: Column) -> Column:
+    """The sum of the tests' deviates, in ``GRAIN``-ths."""
+    zero = F.lit(0.0)
+    folded = F.when(code.isin("hex", "base36"), F.lower(word)).when(code == "base64", F.translate(word, "-_", "+/")).otherwise(word)
+    alphabet = F.coalesce(*(F.when(code == name, F.lit(symbols)) for name, symbols in ALPHABETS.items()))
+    k = F.length(alphabet).cast("double")
+
+    def halves(text: Column) -> Column:
+        """0 for each symbol of the alphabet's lower half, 1 for one of the upper."""
+        return F.coalesce(*(F.when(code == name, F.translate(text, symbols, "0" * (len(symbols) // 2) + "1" * (len(symbols) // 2))) for name, symbols in ALPHABETS.items()))
+
+    def often(text: Column, part: Column, size: int = 1) -> Column:
+        """How often a string that can't overlap itself occurs."""
+        return (F.length(text) - F.length(F.replace(text, part, F.lit("")))).cast("double") / size
+
+    def summed(p: Column) -> Column:
+        """Sums of a piece's symbols, and over their pairs with the next ones."""
+        v = F.transform(F.filter(F.split(p["more"], ""), lambda c: c != ""), lambda c: F.instr(p["alphabet"], c).cast("double") - 1)
+        return F.struct(
+            F.transform(F.filter(F.split(p["alphabet"], ""), lambda c: c != ""), lambda c: often(p["own"], c)).alias("counts"),
+            (often(p["halves"], F.lit("01"), 2) + often(p["halves"], F.lit("10"), 2)).alias("turns"),
+            F.transform(F.array(v), lambda x: F.aggregate(F.zip_with(F.slice(x, F.lit(2), F.lit(PIECE)), F.slice(x, F.lit(1), F.size(x) - 1), lambda y, z: y * z), zero, lambda t, y: t + y))[0].alias("lagged"),
+            (F.instr(p["alphabet"], F.substring(p["own"], F.lit(1), F.lit(1))).cast("double") - 1).alias("first"),
+            (F.instr(p["alphabet"], F.substring(p["own"], F.length(p["own"]), F.lit(1))).cast("double") - 1).alias("last"),
+        )
+
+    def pieces(f: Column) -> Column:
+        # A value of a lambda's argument is built once, an expression each time.
+        starts = F.sequence(F.lit(0), F.length(f["folded"]) - 1, F.lit(PIECE))
+        cut = F.transform(starts, lambda i: F.struct(F.substring(f["folded"], i + 1, F.lit(PIECE)).alias("own"), F.substring(f["folded"], i + 1, F.lit(PIECE + 1)).alias("more"), f["alphabet"].alias("alphabet")))
+        return F.transform(F.transform(cut, lambda c: F.struct(c["own"].alias("own"), c["more"].alias("more"), halves(c["more"]).alias("halves"), c["alphabet"].alias("alphabet"))), summed)
+
+    def tested(parts: Column) -> Column:
+        counts = F.aggregate(parts, F.transform(F.sequence(F.lit(1), k.cast("int")), lambda x: F.lit(0.0)), lambda a, p: F.zip_with(a, p["counts"], lambda x, y: x + y))
+        sums = F.struct(F.transform(counts, lambda c, i: F.struct(c.alias("c"), i.cast("double").alias("i"))).alias("t"), parts.alias("parts"))
+        return F.transform(F.array(sums), deviate)[0]
+
+    def deviate(s: Column) -> Column:
+        def total(f):
+            return F.aggregate(s["t"], zero, lambda a, x: a + f(x["c"], x["i"]))
+
+        n = total(lambda c, i: c)
+        ones, sum_, power = total(lambda c, i: F.when(i >= k / 2, c).otherwise(zero)), total(lambda c, i: c * i), total(lambda c, i: c * i * i)
+        turns = F.aggregate(s["parts"], zero, lambda a, p: a + p["turns"])
+        lagged = F.aggregate(s["parts"], zero, lambda a, p: a + p["lagged"])
+        first, last = s["parts"][0]["first"], F.element_at(s["parts"], -1)["last"]
+        chi = total(lambda c, i: c * c) * k / n - n
+        spread = F.lit(2.0) / (F.lit(9.0) * (k - 1))
+        z_chi = (F.pow(F.greatest(chi, zero) / (k - 1), F.lit(1.0 / 3)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
+        pairs = F.lit(2.0) * ones * (n - ones)
+        variance = pairs * (pairs - n) / (n * n * (n - 1))
+        z_runs = F.when(variance > 0, F.abs(turns - pairs / n) / F.sqrt(variance)).otherwise(F.lit(MOST))
+        mean = sum_ / n
+        around = power - n * mean * mean
+        z_lag = F.when(around > 1e-9, F.abs((lagged - mean * (2 * sum_ - first - last) + (n - 1) * mean * mean) / around + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(MOST))
+        return F.rint((F.least(F.lit(MOST), z_chi) + (F.least(F.lit(MOST), z_runs) + F.least(F.lit(MOST), z_lag)) / 2) * GRAIN).cast("int")
+
+    given = F.struct(folded.alias("folded"), alphabet.alias("alphabet"))
+    return F.transform(F.transform(F.array(given), pieces), tested)[0]
+
+
+def _decoys(text: Column, s: Column) -> Column:
+    """Words of a run's length and encoding made from what stands around it."""
+    n = F.least(F.length(s["word"]), F.lit(LONGEST))
+    reach = n * AROUND
+    at = F.greatest(F.lit(0), s["start"].cast("int") - reach)
+    near = F.concat_ws(" ", F.substring(text, at + 1, s["start"].cast("int") - at), F.substring(text, s["stop"].cast("int") + 1, reach))
+    near = F.regexp_replace(near, RUN, " ")
+    words = F.transform(F.regexp_extract_all(near, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.concat(F.upper(F.substring(w, F.lit(1), F.lit(1))), F.substring(w, F.lit(2), F.length(w))))
+    letters, digits = F.array_join(words, ""), F.substring(F.regexp_replace(F.substring(s["word"], F.lit(1), n), "[^0-9]", ""), F.lit(1), F.lit(DIGITS))
+    letters = F.when(s["code"] == "base32", F.upper(letters)).when(s["code"] == "hex", F.regexp_replace(near, "[^0-9a-fA-F]", "")).otherwise(letters)
+    made = F.struct(letters.alias("letters"), F.when(s["code"] == "hex", "").otherwise(digits).alias("digits"))
+
+    def slices(m: Column) -> Column:
+        size = n - F.length(m["digits"])
+        own = F.transform(F.sequence(F.lit(0), F.lit(DECOYS - 1)), lambda i: F.substring(m["letters"], i * size + 1, size))
+        return F.transform(F.filter(own, lambda x: F.length(x) == size), lambda x: F.concat(x, m["digits"]))
+
+    return F.transform(F.array(made), slices)[0]
+
+
 def battery(text: Column) -> Column:
-    """Array of (start, stop, family, p) of the runs with an inferred encoding."""
+    """Array of (start, stop, family, x, spare, spread) of the runs with an inferred
+    encoding: ``x`` is the difference of a run's structure from its decoys' mean,
+    over the root of 1 + 1/decoys (null without enough decoys), ``spare`` the number
+    of decoys less one, and ``spread`` 840 times the sum of their squared
+    differences from their mean, which is a whole number for up to eight."""
     named = F.filter(F.transform(matches(text, RUN), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["word"].alias("word"), _encoding(s["word"]).alias("code"))), lambda s: s["code"].isNotNull())
 
-    def values(s: Column) -> Column:
-        word = F.when(s["code"].isin("hex", "base36"), F.lower(s["word"])).when(s["code"] == "base64", F.translate(s["word"], "-_", "+/")).otherwise(s["word"])
-        alphabet = F.coalesce(*(F.when(s["code"] == name, F.lit(symbols)) for name, symbols in ALPHABETS.items()))
-        letters = F.filter(F.split(word, ""), lambda c: c != "")
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.length(alphabet).cast("double").alias("k"), F.transform(letters, lambda c: F.instr(alphabet, c).cast("double") - 1).alias("v"))
-
     def measured(s: Column) -> Column:
-        v, k = s["v"], s["k"]
-        zero = F.lit(0.0)
-        squares = F.aggregate(F.transform(F.sequence(F.lit(0), k.cast("int") - 1), lambda x: F.size(F.filter(v, lambda y: y == x)).cast("double")), zero, lambda a, c: a + c * c)
-        ones = F.size(F.filter(v, lambda x: x >= k / 2)).cast("double")
-        ahead, behind = F.slice(v, F.lit(2), F.size(v)), F.slice(v, F.lit(1), F.size(v) - 1)
-        turns = F.size(F.filter(F.zip_with(ahead, behind, lambda a, b: (a >= k / 2) != (b >= k / 2)), lambda x: x)).cast("double")
-        total = F.aggregate(v, zero, lambda a, x: a + x)
-        power = F.aggregate(v, zero, lambda a, x: a + x * x)
-        lagged = F.aggregate(F.zip_with(ahead, behind, lambda a, b: a * b), zero, lambda a, x: a + x)
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), k.alias("k"), F.size(v).cast("double").alias("n"), squares.alias("squares"), ones.alias("ones"), turns.alias("turns"), total.alias("total"), power.alias("power"), lagged.alias("lagged"), v[0].alias("first"), F.element_at(v, -1).alias("last"))
-
-    def tested(s: Column) -> Column:
-        n, k = s["n"], s["k"]
-        chi = s["squares"] * k / n - n
-        spread = F.lit(2.0) / (F.lit(9.0) * (k - 1))
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1.0 / 3)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
-        pairs = F.lit(2.0) * s["ones"] * (n - s["ones"])
-        variance = pairs * (pairs - n) / (n * n * (n - 1))
-        z_runs = F.when(variance > 0, F.abs(s["turns"] - pairs / n) / F.sqrt(variance)).otherwise(F.lit(10.0))
-        mean = s["total"] / n
-        around = s["power"] - n * mean * mean
-        ahead_behind = s["lagged"] - mean * (2 * s["total"] - s["first"] - s["last"]) + (n - 1) * mean * mean
-        z_lag = F.when(around > 1e-9, F.abs(ahead_behind / around + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(10.0))
-        p = F.lit(3.0) * F.least(_upper_tail(z_chi), F.lit(2.0) * _upper_tail(z_runs), F.lit(2.0) * _upper_tail(z_lag))
-        binned = F.least(F.lit(GRAIN), F.ceil(p * GRAIN)).cast("int")
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.floor(F.log2(n)).cast("int").alias("family"), binned.alias("p"))
+        length = F.floor(F.lit(2.0) * F.log2(F.least(F.length(s["word"]), F.lit(LONGEST)).cast("double"))).cast("int")
+        family = F.coalesce(*(F.when(s["code"] == name, F.lit(100 * i)) for i, name in enumerate(ALPHABETS))) + length
+        words = F.concat(F.array(s["word"]), _decoys(text, s))
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), family.alias("family"), F.transform(words, lambda w: _structure(w, s["code"])).alias("u"))
 
-    return F.transform(F.transform(F.transform(named, values), measured), tested)
+    def compared(r: Column) -> Column:
+        d, nought = F.size(r["u"]) - 1, F.lit(0).cast("long")
+        others = F.slice(r["u"], F.lit(2), F.lit(DECOYS))
+        total, squares = F.aggregate(others, nought, lambda a, u: a + u), F.aggregate(others, nought, lambda a, u: a + u.cast("long") * u)
+        enough = d >= COMPARED
+        x = (r["u"][0] - total / d) / F.sqrt(F.lit(1.0) + F.lit(1.0) / d)
+        return F.struct(r["start"].alias("start"), r["stop"].alias("stop"), r["family"].alias("family"), F.when(enough, F.rint(x).cast("int")).alias("x"), F.when(enough, d - 1).alias("spare"), F.when(enough, 840 * squares - F.floor(F.lit(840) / d) * total * total).alias("spread"))
 
+    return F.transform(F.transform(named, measured), compared)
 
-def families(docs: DataFrame, *, text_col: str = "text", rate: float = RATE) -> dict[int, int]:
-    """For each family the largest p-value, in bins, that counts as not random.
 
-    The driver gets one row per family, of which there are as many as powers of
-    two in the longest text."""
+def p_value(x: Column, deviation: Column) -> Column:
+    """Probability that an ordinary run differs so much from its decoys."""
+    return _upper_tail(-x.cast("double") / GRAIN / deviation)
+
+
+def families(docs: DataFrame, *, text_col: str = "text", rate: float = RATE) -> dict[int, tuple[float, int]]:
+    """For each family that reports runs, the deviation of its decoys and the
+    largest difference, in ``GRAIN``-ths, that is reported.
+
+    The driver gets one row per family, of which there are at most some twenty for
+    each encoding."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    runs = docs.where(text.rlike(RUN)).select(F.explode(battery(text)).alias("r")).groupBy("r.family", "r.p").agg(F.count("*").alias("n"))
-    family = Window.partitionBy("family")
-    runs = runs.select("family", "p", F.sum("n").over(family.orderBy("p")).alias("below"), F.sum("n").over(family).alias("all"))
-    named = runs.where(F.col("p").cast("double") / GRAIN <= F.lit(rate) * F.col("below") / F.col("all"))
-    return {r["family"]: r["cut"] for r in named.groupBy("family").agg(F.max("p").alias("cut")).collect()}
+    runs = docs.where(text.rlike(RUN)).select(F.explode(battery(text)).alias("r")).select("r.*").where("x is not null")
+    counts = materialize(runs.groupBy("family", "x").agg(F.count("*").alias("n"), F.sum("spare").alias("spare"), F.sum("spread").alias("spread")), "runs")
+    null = counts.groupBy("family").agg(F.sum("n").alias("every"), F.sum("spare").alias("spare"), F.sum("spread").alias("spread")).where(F.col("spare") >= LEAST)
+    null = null.select("family", "every", F.greatest(F.lit(SPREAD), F.sqrt(F.col("spread").cast("double") / 840 / F.col("spare")) / GRAIN).alias("deviation"))
+    below = Window.partitionBy("family").orderBy("x")
+    ranked = counts.select("family", "x", F.sum("n").over(below).alias("below")).join(null, "family")
+    named = ranked.where(p_value(F.col("x"), F.col("deviation")) <= F.lit(rate) * F.col("below") / F.col("every"))
+    found = named.groupBy("family", "deviation").agg(F.max("x").alias("cut")).collect()
+    return {r["family"]: (r["deviation"], r["cut"]) for r in found}
+
+
+def random_runs(text: Column, base: Column, rules: dict[int, tuple[float, int]]) -> Column:
+    """Array of (start, stop, p) of the reported runs."""
+    none = "array<struct<start:bigint,stop:bigint,p:double>>"
+    if not rules:
+        return F.array().cast(none)
+    rule = F.create_map(*(x for family, (deviation, cut) in rules.items() for x in (F.lit(family), F.struct(F.lit(deviation).alias("deviation"), F.lit(cut).alias("cut")))))
 
+    def reported(r: Column) -> Column:
+        return F.coalesce(r["x"] <= rule[r["family"]]["cut"], F.lit(False)) & ~F.exists(base, lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))
 
-def all_spans(text: Column, base: Column, cuts: dict[int, int]) -> Column:
-    """Base spans and the spans of random runs, sorted."""
-    rule = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair)) if cuts else None
+    runs = F.transform(F.filter(battery(text), reported), lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), p_value(r["x"], rule[r["family"]]["deviation"]).alias("p")))
+    return F.when(text.rlike(RUN), runs).otherwise(F.array().cast(none))
 
-    def random(r: Column) -> Column:
-        cut = F.coalesce(rule[r["family"]], F.lit(-1)) if rule is not None else F.lit(-1)
-        return (r["p"] > cut) & ~F.exists(base, lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))
 
-    more = F.transform(F.filter(battery(text), random), lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), r["stop"].alias("stop")))
-    return F.array_sort(F.concat(base, more))
+def all_spans(base: Column, runs: Column) -> Column:
+    """Base spans and those of the reported runs, sorted."""
+    return F.array_sort(F.concat(base, F.transform(runs, lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), r["stop"].alias("stop")))))
 
 
 def listed(spans: Column) -> Column:
@@ -185,21 +293,23 @@ def listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """doc_id, base and spans (arrays of start, rank in ``KINDS``, stop) per row.
+    """doc_id, base and spans (arrays of start, rank in ``KINDS``, stop) and random
+    (array of start, stop and p-value of the battery's spans) per row.
 
     Two passes over the texts and no shuffle of them: one for the families'
     rule, one for the spans."""
-    cuts = families(docs, text_col=text_col, rate=rate)
+    rules = families(docs, text_col=text_col, rate=rate)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.select("doc_id", "text", base_spans(text).alias("base"))
-    return rows.select("doc_id", "base", all_spans(text, F.col("base"), cuts).alias("spans"))
+    rows = rows.select("doc_id", "base", random_runs(text, F.col("base"), rules).alias("random"))
+    return rows.select("doc_id", "base", all_spans(F.col("base"), F.col("random")).alias("spans"), "random")
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become
     one mark.  Where the text changes, ``length_col`` gets its new length."""
-    cuts = families(docs, text_col=text_col, rate=rate)
+    rules = families(docs, text_col=text_col, rate=rate)
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -210,8 +320,9 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     def end(state: Column) -> Column:
         return F.concat(state["out"], F.col(text_col).substr((state["at"] + 1).cast("int"), F.length(F.col(text_col))))
 
-    spans = fresh(docs, "spans")
-    found = docs.withColumn(spans, all_spans(text, base_spans(text), cuts))
+    base, spans = fresh(docs, "base"), fresh(docs, "spans")
+    found = docs.withColumn(base, base_spans(text))
+    found = found.withColumn(spans, all_spans(F.col(base), random_runs(text, F.col(base), rules)))
     hidden = F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, add, end)).otherwise(F.col(text_col))
     found = found.withColumn(text_col, hidden)
     if length_col:
