@@ -37,6 +37,37 @@ def test_empty_table(docs):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab1 \n\t's. 　é<|>", max_size=120), st.integers(1, 20))
 def test_pieces_add_up(text, size):
-    count, _ = token_counts._encoder(PATH)
-    parts = list(token_counts.pieces(text, size))
+    count, cut = token_counts._encoder(PATH)
+    parts = list(token_counts.pieces(text, size, cut))
     assert "".join(parts) == text and sum(count(parts)) == brute(text)
+
+
+def test_unsafe_tokenizers_get_whole_texts(docs, tmp_path):
+    """A tokenizer that puts a blank in front, or has its own pattern, must see a
+    text as a whole."""
+    from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+
+    text = "one two three four 12ab " * 25
+    changes = {
+        "prefix": {"pre_tokenizer": pre_tokenizers.ByteLevel(add_prefix_space=True)},
+        "pattern": {"pre_tokenizer": pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\w+ \w+|."), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])},
+        "prepend": {"normalizer": normalizers.Prepend(" ")},
+        "replace": {"normalizer": normalizers.Replace(" ", "")},
+    }
+    for name, parts in changes.items():
+        model = Tokenizer.from_file(PATH)
+        for part, value in parts.items():
+            setattr(model, part, value)
+        path = str(tmp_path / f"{name}.json")
+        model.save(path)
+        assert token_counts._encoder(path)[1] is None
+        assert token_counts.count_tokens(docs([(1, text)]), path, piece_chars=30).first().n_tokens == brute(text, path)
+    assert token_counts._encoder(PATH)[1] is token_counts._CUTS["byte-level"]
+
+
+def test_long_text_without_white_space(docs):
+    """It is cut between letters and digits."""
+    text = "".join(f"word{i}" for i in range(3000))
+    parts = list(token_counts.pieces(text, 100))
+    assert len(parts) > 100 and max(map(len, parts)) < 120
+    assert token_counts.count_tokens(docs([(1, text)]), PATH, piece_chars=100).first().n_tokens == brute(text)

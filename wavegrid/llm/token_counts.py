@@ -4,10 +4,14 @@ A text is cut into pieces at safe boundaries when it is long, pieces are
 gathered into batches of about equal bytes across row borders, each batch is
 encoded at once and only the number of tokens leaves the function.
 
-A cut is made before a white-space character that follows a character which is
-not white space.  No pre-token of the supported vocabularies extends over such
-a place, and none looks back over it, so the counts of the pieces add up to the
-count of the whole.  A text without such a place stays whole.
+Which places are safe follows from the tokenizer's own description
+(:func:`safe_cuts`).  Where it splits at white space, or in the manner of
+byte-level vocabularies, a cut is made before a white-space character that follows
+a character which is not white space; in the latter also between an ASCII letter
+and a digit.  No pre-token extends over such a place, and none looks back over
+it, so the counts of the pieces add up to the count of the whole.  A tokenizer of
+any other kind (one that puts a blank in front, normalises by context or has
+its own pattern) gets whole texts, and a text without a safe place stays whole.
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); rows are independent, so
 null ids, repeated ids and repeated rows each give their own row; an empty
@@ -16,6 +20,7 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,20 +32,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm.common import id_and_text
+from wavegrid.runtime import ship
 
 #: Bytes of text encoded at once, and characters from which a text is cut.
 BATCH_BYTES = 1 << 18
 PIECE_CHARS = 1 << 15
 
-_CUT = re.compile(r"\S(?=[ \n\t\r])")
+#: The last character before a cut, by kind of tokenizer.
+_CUTS = {"space": re.compile(r"\S(?=[ \n\t\r])"), "byte-level": re.compile(r"\S(?=[ \n\t\r])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")}
 _encoders: dict[str, tuple] = {}
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
+def safe_cuts(described: dict) -> re.Pattern | None:
+    """Where texts may be cut for a tokenizer with this description (the content of
+    its file), or None."""
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        if not part:
+            return []
+        return [x for p in part[inner] for x in steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+    if any(re.search(r"\s", x["content"]) or x.get("lstrip") or x.get("rstrip") for x in described.get("added_tokens") or []):
+        return None
+    if any(x["type"] not in ("NFC", "Lowercase") for x in steps(described.get("normalizer"), "normalizers")):
+        return None
+    split = steps(described.get("pre_tokenizer"), "pretokenizers")
+    if not split:
+        return None
+    if all(x["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") for x in split):
+        return _CUTS["space"]
+    if len(split) == 1 and split[0]["type"] == "ByteLevel" and not split[0].get("add_prefix_space", True) and split[0].get("use_regex", True):
+        # Composition and case folding keep letters and digits apart as well.
+        return _CUTS["byte-level"]
+    return None
+
+
+def pieces(text: str, size: int = PIECE_CHARS, cut: re.Pattern = _CUTS["byte-level"]) -> Iterator[str]:
     """``text`` in pieces of ``size`` characters or a little more."""
     start = 0
     while len(text) - start > size:
-        found = _CUT.search(text, start + size - 1)
+        found = cut.search(text, start + size - 1)
         if not found:
             break
         yield text[start : found.end()]
@@ -49,14 +80,14 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def _encoder(path: str) -> tuple:
-    """(function from texts to token counts, whether texts may be cut)."""
+    """(function from texts to token counts, where texts may be cut or None)."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _encoders[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False)
+            _encoders[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], None)
         else:
             from tokenizers import Tokenizer
 
@@ -64,14 +95,13 @@ def _encoder(path: str) -> tuple:
             model.no_truncation()
             model.no_padding()
             encode = getattr(model, "encode_batch_fast", model.encode_batch)
-            safe = not any(re.search(r"\s", x.content) or x.lstrip or x.rstrip for x in model.get_added_tokens_decoder().values())
-            _encoders[path] = (lambda texts: [len(x) for x in encode(texts, add_special_tokens=False)], safe)
+            _encoders[path] = (lambda texts: [len(x) for x in encode(texts, add_special_tokens=False)], safe_cuts(json.loads(model.to_str())))
     return _encoders[path]
 
 
 def _lengths(path: str, batch_bytes: int, piece_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, safe = _encoder(path)
+        count, cut = _encoder(path)
         for batch in batches:
             texts, rows = batch.column(1), batch.num_rows
             n_bytes, n_tokens = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
@@ -86,7 +116,7 @@ def _lengths(path: str, batch_bytes: int, piece_chars: int):
                 text = texts[i].as_py()
                 if not text:
                     continue
-                for piece in pieces(text, piece_chars) if safe else (text,):
+                for piece in pieces(text, piece_chars, cut) if cut else (text,):
                     size = len(piece.encode())
                     n_bytes[i] += size
                     waiting.append(piece)
@@ -109,6 +139,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     ``.model`` file for sentencepiece; each worker loads it once.  No begin,
     end or other special token is added.
     """
+    ship(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return rows.mapInArrow(_lengths(model_path, batch_bytes, piece_chars), schema).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
