@@ -30,6 +30,44 @@ def test_fit_does_not_depend_on_partitions(spark):
     assert np.array_equal(a.weights, b.weights) and np.array_equal(a.levels, b.levels)
 
 
+def test_scores_equal_a_dense_solution(spark):
+    """Statistics, features, normal equations, ridge and calibration once more, on
+    one machine."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels, eligible=bucket_of(F.col("doc_id"), 5) != 0)
+    frame, known = docs.toPandas(), labels.toPandas().dropna(subset=["quality"]).groupby("doc_id").quality.mean()
+    texts = [(t or "").encode() for t in frame.text]
+    x = quality.statistics(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    ids = frame.doc_id.to_numpy()
+    learned = np.array([i in known.index and zlib.crc32(str(i).encode()) % 5 != 0 for i in ids])
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("h")).collect()}
+    held = np.array([hashed[i] == 0 for i in ids])
+    y = np.array([known.get(i, 0.0) for i in ids])
+    centre, scale = x[learned].mean(axis=0), np.sqrt(x[learned].var(axis=0)) + 0.01 * quality.UNIT
+    assert model.centre == pytest.approx(centre) and model.scale == pytest.approx(scale, rel=1e-6)
+    rng = np.random.default_rng(7)
+    w, b = np.rint(rng.standard_normal((x.shape[1], 256)) / 4.0 * quality.PLACES) / quality.PLACES, rng.uniform(0, 2 * np.pi, 256)
+    z = np.rint(np.clip((x - centre) / scale, -6, 6) * quality.PLACES) / quality.PLACES
+    z = np.column_stack([np.rint(np.cos(z @ w + b) * quality.FEATURE_UNIT) / quality.FEATURE_UNIT, np.ones(len(x))])
+    fit = learned & ~held
+    gram = z[fit].T @ z[fit]
+    weights = np.linalg.solve(gram + 1e-4 * gram[-1, -1] * np.eye(257), z[fit].T @ y[fit])
+    raw = np.round(z @ weights, 9)
+    knots, levels = quality.isotonic(raw[learned & held], y[learned & held])
+    want = dict(zip(ids, np.clip(np.interp(z @ weights, knots, levels), 0, 1)))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert np.abs(model.weights - weights).max() < 1e-3 * max(1, np.abs(weights).max())
+    assert np.mean([abs(got[i] - want[i]) < 1e-3 for i in got]) > 0.98
+
+
+def test_clashing_columns_of_labels(docs, spark):
+    rows = [(i, f"plain words number {i} here") for i in range(60)] + [(i, "### $$$ " * 9) for i in range(60, 120)]
+    plain = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id bigint, quality int")
+    more = plain.selectExpr("doc_id", "quality", "'x' as text", "'y' as target", "1 as held", "2 as h", "'z' as x", "3 as n")
+    a, b = quality.fit(docs(rows), plain), quality.fit(docs(rows), more)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.levels, b.levels)
+
+
 def test_isotonic():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 30, 200).astype(float)

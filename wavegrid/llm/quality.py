@@ -18,8 +18,9 @@ smallest hashes of the id), which bounds what is broadcast and collected.
 Cases: null and empty texts have all statistics 0 and get a score like any
 other; a row whose id is null or repeated gets its own score; labels that are
 null take no part and several labels of one id count as their mean; without any
-usable label each score is 0.5, with labels of one kind only it is that label.
-Other columns are not read.
+usable label each score is 0.5, with labels of one kind only it is that label;
+equal statistics get equal scores; an empty table of documents gives an empty one.
+Other columns, of documents or labels, are not read and can have any names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm.common import SPACE, id_and_text, portions, utf8
+from wavegrid.runtime import ship
 
 STATISTICS = ("log_bytes", "upper", "digit", "stop_mark", "other_mark", "bar", "shout", "non_ascii", "line_rate", "word_bytes", "word_variety", "line_variety", "top_word", "marked_words")
 
@@ -44,6 +46,9 @@ PORTION = 1 << 20
 #: Fixed-point scales of the statistics and of the Fourier features.
 UNIT, FEATURE_UNIT = 1 << 14, 1 << 12
 
+#: Tasks that sum the normal equations.
+FIT_TASKS = 8
+
 #: Projections take factors of so many places, so that their sums are exact in
 #: whatever order they are added.
 PLACES = 1 << 12
@@ -205,6 +210,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", eligible: Column | None = None, max_fit_rows: int = 24_000, n_features: int = 256, width: float = 4.0, ridge: float = 1e-4, seed: int = 7) -> Model:
     """Learns a :class:`Model`; the driver gets at most ``max_fit_rows`` pairs of
     score and label and a matrix of ``n_features`` squared."""
+    ship(docs.sparkSession)
     size = len(STATISTICS)
     sample = _labelled(docs, labels, id_col, text_col, label_id, label_col, eligible, max_fit_rows).persist()
     try:
@@ -219,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         centre = np.array([sums[f"s{k}"] / n for k in range(size)])
         spread = np.array([float(sums[f"q{k}"]) / n for k in range(size)]) - centre**2
         model = Model(centre, np.sqrt(np.maximum(spread, 0)) + 0.01 * UNIT, w, b, np.zeros(0), np.zeros(0), np.zeros(0))
-        shares = sample.where("not held").select("target", "x").mapInArrow(_equations(model), "i int, j int, v bigint")
+        # The sample is bounded, so some tasks are enough for any size of the table.
+        shares = sample.where("not held").select("target", "x").repartition(FIT_TASKS).mapInArrow(_equations(model), "i int, j int, v bigint")
         total = shares.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
         m = n_features + 1
         a = np.zeros((m, m + 1))
@@ -250,6 +257,7 @@ def _scores(model: Model):
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from ``threshold`` on) per row,
     in one pass over the texts without a shuffle."""
+    ship(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_scores(model), schema).withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
@@ -264,4 +272,5 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshol
             good = model.score(statistics(*utf8(batch.column(batch.schema.get_field_index(text_col))))) >= threshold
             yield batch.filter(pa.array(good))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
