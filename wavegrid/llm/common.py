@@ -4,8 +4,6 @@ and vectorised word hashing."""
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavegrid.runtime import shared_dir
+
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,35 +26,39 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 SEGMENT = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one named in ``spark.checkpoint.dir``, or set on the context.  Only
-    a session on one machine (as in tests) that names none gets a temporary
-    folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("wavegrid.shared.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
-        path = "file://" + tempfile.mkdtemp(prefix="wavegrid-")
-        spark.conf.set("wavegrid.shared.dir", path)
-    return path
+#: Folders of the tables made so far, in order; None for those dropped.
+_tables: list[str | None] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not what
-    came before, and no later reader computes ``df`` again.
+    came before, and no later reader computes ``df`` again.  A table stays until
+    the driver ends or :func:`drop_tables` is called.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wavegrid/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    """Number of tables made so far."""
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, first: int, last: int) -> None:
+    """Drops the tables from the ``first`` made to before the ``last``; nothing that
+    is still to be computed may read them."""
+    for i in range(first, last):
+        if path := _tables[i]:
+            _remove(spark, path)
+            _tables[i] = None
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

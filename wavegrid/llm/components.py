@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import materialize, partitions
+from wavegrid.llm.common import drop_tables, materialize, tables_made
 
 #: Nodes that one union-find holds before its stars are passed on.
 HELD = 1 << 18
@@ -75,11 +75,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes."""
     kind = pa.binary() if links.schema[a].dataType.typeName() == "binary" else pa.int64()
     name = links.schema[a].dataType.simpleString()
-    n = partitions(links.sparkSession)
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     stars = materialize(pairs.mapInArrow(_shrink(kind), f"a {name}, b {name}").distinct(), "stars")
-    before = None
+    spark, before = links.sparkSession, None
     while True:
+        began = tables_made()
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -88,6 +88,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_tables(spark, began - 1, tables_made() - 1)  # what this round was made of
         if now == before:
             break
         before = now

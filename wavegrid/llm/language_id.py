@@ -16,8 +16,8 @@ Cases: ``und`` with score 0 for a text that is null, empty or has no letter,
 and for every text if there is nothing to learn from; ties go to the language
 that sorts first; rows are independent, so null and repeated ids and repeated
 rows each give a row (but a null id is never learned from, nor is a null lang);
-letters that the vocabulary lacks count as their UTF-8 bytes; other columns are
-not read.
+letters that the vocabulary lacks count as their UTF-8 bytes; an empty table of
+documents gives an empty one; other columns are not read and can have any names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm.common import mix
+from wavegrid.runtime import ship
 
 UNDETERMINED = "und"
 FIT_ROWS, SMOOTHING = 3000, 0.1
@@ -240,6 +241,7 @@ def _count(model_path: str):
 def fit(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", eligible: Column | None = None, fit_rows: int = FIT_ROWS, smoothing: float = SMOOTHING) -> Model:
     """Learns piece probabilities from the rows that fulfil ``eligible`` (a
     condition on the id, column ``doc_id``) and have a language."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc_id is not null and lang is not null")
     if eligible is not None:
         rows = rows.where(eligible)
@@ -280,6 +282,7 @@ def _predict(model: Model):
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the share of the best language in the sum of
     all likelihoods) per row, in one pass without a shuffle."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_predict(model), schema)

@@ -23,7 +23,13 @@ only the way that windows take.
 Cases: a null or blank text has no words, keeps none and its result is an empty
 text; a text shorter than a window is kept; rows of one id count as one document
 (equal rows get equal results, and of two texts of one id the earlier start
-counts); a null id counts as larger than any other; other columns are not read.
+counts); a null id counts as larger than any other; of equal windows the one of the
+smallest id and start stays; an empty table gives an empty one; other columns are
+not read and can have any names.
+
+A bucket is held by one task: of B bytes of text and p shuffle partitions it has
+about 3.4 B / 4p compressed bytes, so p should grow with B (1 GB of text for each
+partition or less keeps a bucket below 1 GB unpacked).
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm.common import materialize, mix, partitions, portions, ragged, run_hashes, text_key, utf8, word_hashes
+from wavegrid.runtime import ship
 
 SIZE, SEED = 20, 3
 
@@ -327,6 +334,7 @@ def hot_minimisers(rows: DataFrame, size: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the text that is left) per row."""
+    ship(docs.sparkSession)
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     hot = hot_minimisers(rows, size)
