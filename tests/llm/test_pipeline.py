@@ -69,3 +69,32 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, DATA), "test-empty")
         assert docs.count() == 0
+
+
+def test_odd_rows(spark, docs, odd_rows):
+    """Null ids and texts, empty, repeated, long and equal rows, and columns whose
+    names the stages use themselves, go through all stages."""
+    known = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    rows = odd_rows + [(r[0] + 1000, r[1]) for r in known] + [(2000, known[0][1]), (2000, known[0][1]), (None, known[1][1]), (None, known[2][1] + " more")]
+    table = docs(rows, 5)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        before, table = table, materialize(stage(spark, table, DATA), "test-odd")
+        counts.append(table.count())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert table.schema == before.schema, name
+            given = {(r.doc_id, r.n_words, r.term) for r in before.select("doc_id", "n_words", "term").collect()}
+            assert {(r.doc_id, r.n_words, r.term) for r in table.select("doc_id", "n_words", "term").collect()} <= given
+        if name == "MinHash near-dedup":
+            ids = [r.doc_id for r in table.select("doc_id").collect() if r.doc_id is not None]
+            assert len(ids) == len(set(ids))
+    assert counts == sorted(counts, reverse=True) and counts[-1] > 0 and table.columns == ["doc_id", "ids", "n_pieces"]
+
+
+def test_run_drops_what_it_no_longer_needs(spark):
+    from wavegrid.llm import common
+
+    first = common.tables_made()
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    left = [path for path in common._tables[first:] if path]
+    assert rows and sum("quality-classifier" in p or "near-dedup" in p or "labels" in p or "described" in p or "postings" in p for p in left) == 0
