@@ -8,6 +8,15 @@ Documents go that the quality classifier rejects, that are near duplicates (five
 words, similarity 0.8) of one that stays, or that hold a whole window of eight
 words of a benchmark item; secrets are replaced by a mark; what is left is
 encoded.
+
+Cases, for every stage: a null text counts as empty for the classifier, is its own
+group, holds no window and no secret, and has null ids; empty and blank texts are
+like it but are encoded as such.  Of rows that share an id the near-duplicate
+stage keeps one, also of equal rows; rows without an id are told apart by their
+text, and stay unless they are near duplicates of a row with an id.  Equal scores
+and similarities at a threshold count as reaching it.  An empty table of documents
+gives an empty one.  Other columns of documents, whatever their names, go through
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.llm import decontaminate, near_dedup, quality, secret_scan, sentencepieces
-from wavegrid.llm.common import bucket_of, materialize
+from wavegrid.llm.common import bucket_of, drop_tables, materialize, tables_made
 from wavegrid.llm.queries import table, vocabulary
 from wavegrid.runtime import ship
 
@@ -65,8 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; once a stage is written, what it was made from
+    is dropped."""
+    docs, first = table(spark, sf_dir, "documents"), tables_made()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(spark, first, tables_made() - 1)
+        first = tables_made() - 1
     return STAGES[-1][1](spark, docs, sf_dir)
