@@ -54,7 +54,7 @@ BANDS, BAND_ROWS = 32, 5
 
 #: Bytes of text described at once; members of a band that a tile holds, and the
 #: shingles that they may have; outsiders compared at once.
-PORTION, BLOCK, BLOCK_SHINGLES, ROUND = 1 << 20, 1024, 1 << 21, 256
+PORTION, BLOCK, BLOCK_SHINGLES, ROUND = 1 << 20, 512, 1 << 21, 256
 
 #: Members that a shingle needs for a column in a tile's table, and its cells.
 DENSE, CELLS = 16, 1 << 24
