@@ -19,6 +19,7 @@ def table(spark, totals):
     return spark.createDataFrame([(str(i), float(t)) for i, t in enumerate(totals)], "path string, duration_s double")
 
 
+# Totals, chunks, overlaps and the intervals that they give.
 @pytest.mark.parametrize(
     ("total", "chunk", "overlap", "want"),
     [
@@ -37,6 +38,7 @@ def test_bounded(spark, total, chunk, overlap, want):
     assert [(r.start_s, r.end_s) for r in rows] == want
 
 
+# Numbers and last intervals of a recording of two minutes.
 @pytest.mark.parametrize(("overlap", "n", "last"), [(0, 40, (117, 120)), (1, 60, (118, 120)), (2, 118, (117, 120)), (1.5, 79, (117, 120))])
 def test_two_minutes(spark, overlap, n, last):
     rows = grid.bounded(table(spark, [120]), overlap_s=overlap).orderBy("chunk_idx").collect()
